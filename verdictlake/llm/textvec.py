@@ -55,6 +55,15 @@ class Words:
     doc: np.ndarray  #: document of each word, ascending
     hash: np.ndarray  #: uint64
     first: np.ndarray  #: words before each document, n_docs + 1
+    run: np.ndarray  #: sums of the polynomial up to each byte
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the first n bytes, word) of the words that have more."""
+        long = np.flatnonzero(self.end - self.start > n)
+        at, size = self.start[long], len(self.data)
+        with np.errstate(over="ignore"):
+            h = (self.run[at + n] - self.run[at]) * powers(size + 1)[size - at] * _inverse_power(size)
+        return mix(h), long
 
 
 def cut(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -107,7 +116,7 @@ def words_of(texts: pa.Array, fold: bool = True, space: np.ndarray = SPACE) -> W
         h = h * _inverse_power(n)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
-    return Words(n_docs, data, offsets, start, end, doc, mix(h), first)
+    return Words(n_docs, data, offsets, start, end, doc, mix(h), first, run)
 
 
 _INVERSE = pow(BASE, -1, 1 << 64)
