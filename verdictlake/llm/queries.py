@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, quality, token_files, toxicity
+from . import common, mixing, packing, quality, token_files, topk, toxicity
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(common.table(spark, sf_dir, "documents"))
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +24,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, index)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -29,9 +37,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op4_pack": op4_pack,
     "op6_tokens": op6_tokens,
+    "op7_topk": op7_topk,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mix": mixing.oracle(), "op7_topk": topk.ORACLE}
