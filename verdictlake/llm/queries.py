@@ -7,17 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, packing, quality, token_files, topk, toxicity
+from . import common, mixing, packing, quality, sharding, token_files, topk, toxicity, warc
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(common.table(spark, sf_dir, "pages"), common.work_path(spark, "warc"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard(common.table(spark, sf_dir, "documents"), common.work_path(spark, "shards"))
+    return sharding.digest(store.read())
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.work_path(spark, "tokens")
     index = token_files.write_tokens(common.table(spark, sf_dir, "documents"), folder)
@@ -38,10 +47,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_warc": op3_warc,
     "op4_pack": op4_pack,
+    "op5_shards": op5_shards,
     "op6_tokens": op6_tokens,
     "op7_topk": op7_topk,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix": mixing.oracle(), "op7_topk": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_mix": mixing.oracle(), "op5_shards": sharding.ORACLE, "op7_topk": topk.ORACLE}
