@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, packing, quality, sharding, token_files, topk, toxicity, warc
+from . import common, lm, mixing, packing, quality, sharding, token_files, topk, toxicity, warc
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shards": op5_shards,
     "op6_tokens": op6_tokens,
     "op7_topk": op7_topk,
+    "op8_lm": op8_lm,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
