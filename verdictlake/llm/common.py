@@ -7,11 +7,12 @@ import atexit
 import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -143,10 +144,12 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 _RUNS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: A space perhaps, plain Latin letters, then punctuation but apostrophes.
 _PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-_CODERS: dict[tuple, "WordCoder"] = {}
+#: Beyond these letters, folding case may depend on more than the letter.
+_NOT_LATIN = re.compile("[^\x00-\u024f]")
+_CODERS: dict[tuple, WordCoder] = {}
 
 
-class WordCoder:
+class WordCoder(dict):
     """Encodes whole texts with a tokenizers file, through a cache of words.
 
     Both vocabularies split a text before merging, and never merge over the
@@ -154,78 +157,58 @@ class WordCoder:
     (each with the white space before it) in order; punctuation after plain
     letters is split off in the same way.  Texts with unusual white space are
     encoded as one.  The cache has two generations of bounded size.  Ids come
-    back as little-endian bytes of the given width.
+    back as little-endian 16-bit bytes.
     """
 
-    def __init__(self, path: str, keep_space: bool, dtype: str, most: int = 500_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 800_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep_space, self.dtype, self.most = keep_space, dtype, most
-        self.cache: dict[str, bytes] = {}
+        self.keep_space, self.most = keep_space, most
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            if m := _PLAIN.fullmatch(word):
+                got = self[m[1]] + self[m[2]]
+            else:
+                ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                got = ids.tobytes()
+        self[word] = got
+        return got
+
     def words(self, text: str) -> list[str]:
         if _ODD_SPACE.search(text):
             return [text]
-        return _RUNS.findall(text) if self.keep_space else text.split()
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Put the ids of words into the cache."""
-        cache, old, whole, parts = self.cache, self.old, set(), []
-        for w in words:
-            if w in old:
-                cache[w] = old[w]
-            elif m := _PLAIN.fullmatch(w):
-                parts.append((w, m[1], m[2]))
-                whole.update(x for x in m.groups() if x not in cache)
-            else:
-                whole.add(w)
-        new = []
-        for w in whole:
-            if w in old:
-                cache[w] = old[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype=self.dtype)
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            data, width = ids.tobytes(), ids.itemsize
-            for k, w in enumerate(part):
-                cache[w] = data[ends[k] * width : ends[k + 1] * width]
-        for w, a, b in parts:
-            cache[w] = cache[a] + cache[b]
+        if self.keep_space:
+            return _RUNS.findall(text)
+        # this vocabulary's normalizer folds case, so a word is learned once
+        return (text if _NOT_LATIN.search(text) else text.lower()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.most // 2:
-            self.old, self.cache = self.cache, {}
-        cache, out = self.cache, []
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
         collecting = gc.isenabled()
         gc.disable()  # millions of words live for a moment, none in a cycle
         try:
-            for at in range(0, len(texts), 64):
-                split = [self.words(t) for t in texts[at : at + 64]]
-                missing: set[str] = set()
-                for words in split:
-                    missing.update([w for w in words if w not in cache])
-                if missing:
-                    self._learn(missing)
-                out += [b"".join([cache[w] for w in words]) for words in split]
+            return [b"".join(map(self.__getitem__, self.words(text))) for text in texts]
         finally:
             if collecting:
                 gc.enable()
-        return out
 
 
-def coder(path: str, keep_space: bool, dtype: str = "<u2") -> WordCoder:
+def coder(path: str, keep_space: bool) -> WordCoder:
     """The worker's coder of a vocabulary; it outlives tasks."""
-    key = (path, keep_space, dtype)
+    key = (path, keep_space)
     if key not in _CODERS:
-        _CODERS[key] = WordCoder(path, keep_space, dtype)
+        _CODERS[key] = WordCoder(path, keep_space)
     return _CODERS[key]
 
 

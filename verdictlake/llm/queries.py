@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lm, mixing, packing, quality, sharding, token_files, topk, toxicity, warc
+from . import common, jaccard, lm, mixing, packing, quality, sharding, token_files, topk, toxicity, warc
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(common.table(spark, sf_dir, "pages"), common.work_path(spark, "warc"))
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_jaccard": op2_jaccard,
     "op3_warc": op3_warc,
     "op4_pack": op4_pack,
     "op5_shards": op5_shards,
