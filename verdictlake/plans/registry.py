@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from verdictlake.plans import evaluation, scalars
+
+_PARTS = (evaluation, scalars)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
 FLAGSHIP = "metrics_rates"
