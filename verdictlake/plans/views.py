@@ -56,7 +56,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 def functions_of(spark: SparkSession, d: str) -> DataFrame:
     """Functions of files: nested spans, made from suppliers."""
-    spans = F.expr("inline(array(struct(0 as ord, 'outer' as name, 0 as start_line, 150 as end_line), struct(1, 'inner', cast(s_suppkey % 40 as int), cast(s_suppkey % 40 + 60 as int)), struct(2, 'tail', 120, 190)))")
+    spans = F.expr("inline(array(named_struct('ord', 0, 'name', 'outer', 'start_line', 0, 'end_line', 150), named_struct('ord', 1, 'name', 'inner', 'start_line', cast(s_suppkey % 40 as int), 'end_line', cast(s_suppkey % 40 + 60 as int)), named_struct('ord', 2, 'name', 'tail', 'start_line', 120, 'end_line', 190)))")
     return table(spark, d, "supplier").select(F.expr("s_suppkey || '.c'").alias("file"), spans)
 
 
