@@ -240,7 +240,7 @@ def match_score(file_ok, pred_cwe, gt_cwe, pred_line, gt_line, tolerance: int =
 # -- expressions of code
 
 #: Words that are no names.
-KEYWORDS = ("self", "int", "char", "const", "void", "unsigned", "return", "if", "for", "while")
+KEYWORDS = ("if", "else", "elif", "while", "for", "return", "and", "or", "not", "def", "class", "with", "as", "try", "except", "int", "str", "bool", "True", "False", "None", "self")
 
 
 def call_head(expression) -> Column:

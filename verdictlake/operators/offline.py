@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from verdictlake.functions import columns as C
 from verdictlake.operators import matching as M
@@ -74,7 +75,7 @@ def paired(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select("stratum", "n", C.safe_div("n_a", "n").alias("rate_a"), C.safe_div("n_b", "n").alias("rate_b"), "a_only", "b_only", C.mcnemar_exact(F.col("a_only"), F.col("b_only")).alias("p_value"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """McNemar's chi-square with continuity correction; erfc is not built in."""
 

@@ -186,7 +186,7 @@ ORACLE_SQL = {
     "parse_location": "SELECT event_id, coalesce(CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id > 0 THEN user_id END WHEN 3 THEN CASE WHEN user_id > 50 THEN user_id - 50 END END, -1)::INTEGER AS line FROM events",
     "path_markers": "SELECT page_id, list_has_any(regexp_split_to_array(lower(url), '[^a-z]+'), ['the', 'page', 'fr', 'bad']) AS hit FROM pages",
     "fingerprint": sql("findings", "SELECT ord, sha256(tool || '|' || rule_id || '|' || file || '|' || CASE WHEN line = 0 THEN '' ELSE line::VARCHAR END || '|' || trim(message)) AS fingerprint FROM findings"),
-    "names_in": "SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^A-Za-z_0-9 ]', ' ', 'g'), '[A-Za-z_]\\w*')), lambda x: NOT list_contains(['self', 'int', 'char', 'const', 'void', 'unsigned', 'return', 'if', 'for', 'while'], x))), ',') AS names FROM benchmark",
+    "names_in": "SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^A-Za-z_0-9 ]', ' ', 'g'), '[A-Za-z_]\\w*')), lambda x: NOT list_contains(['if', 'else', 'elif', 'while', 'for', 'return', 'and', 'or', 'not', 'def', 'class', 'with', 'as', 'try', 'except', 'int', 'str', 'bool', 'True', 'False', 'None', 'self'], x))), ',') AS names FROM benchmark",
     "call_head": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'os.path.join' WHEN 1 THEN 'std::copy' WHEN 2 THEN event_type || '.run' || user_id ELSE '' END AS head FROM events",
     "severity_map": sql("findings", "SELECT ord, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 0 END AS rank, CASE WHEN ord % 7 >= 5 THEN 'CRITICAL' WHEN ord % 7 = 4 THEN 'HIGH' WHEN ord % 7 >= 2 THEN 'MEDIUM' WHEN ord % 7 = 1 THEN 'LOW' ELSE 'UNKNOWN' END AS severity FROM findings"),
     "label_cast": "SELECT event_id, event_id % 5 < 2 AS label FROM events",
