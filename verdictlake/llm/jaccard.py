@@ -167,7 +167,7 @@ def needed_sets(docs: DataFrame, bitmap: np.ndarray, settings: Settings) -> Data
     return common.mapped(source, run, "key binary, grams binary", rows_per_batch=4096)
 
 
-def linked(grams: list[np.ndarray], side: np.ndarray, earlier: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+def linked(grams: list[np.ndarray], side: np.ndarray | None, earlier: list[np.ndarray], threshold: Fraction) -> np.ndarray:
     """Which sets of a group are linked: at or above the threshold, on
     different sides where there are two, and in no earlier bucket together."""
     n = len(grams)
@@ -181,7 +181,7 @@ def linked(grams: list[np.ndarray], side: np.ndarray, earlier: list[np.ndarray],
     union = sizes[:, None] + sizes[None] - common_n
     out = common_n * threshold.denominator >= union * threshold.numerator
     np.fill_diagonal(out, False)
-    if side.any():
+    if side is not None:
         out &= side[:, None] != side[None]
     if n > 2 and out.any() and any(len(e) for e in earlier):
         out &= shared_counts(earlier) == 0
@@ -245,7 +245,7 @@ def verify(tasks: DataFrame, settings: Settings) -> DataFrame:
             bucket, p, q = (group[c][0].as_py() for c in ("bucket", "p", "q"))
             grams = [np.frombuffer(x, dtype=np.uint64) for x in group["grams"].to_pylist()]
             earlier = [np.array([b for b in x if b < bucket], dtype=np.int64) for x in group["buckets"].to_pylist()]
-            side = (group["block"].to_numpy() == q) if p != q else np.zeros(len(keys), dtype=bool)
+            side = group["block"].to_numpy() == q if p != q else None
             adjacent = linked(grams, side, earlier, settings.threshold)
             if not adjacent.any():
                 continue
