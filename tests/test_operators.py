@@ -193,3 +193,26 @@ def test_fixed_twins_and_corpora(spark):
     c = spark.createDataFrame([("x", "1", "CWE-7"), ("x", "0", ""), (" ", "1", ""), ("y", "0", "CWE-9")], "src string, y string, c string")
     got = readers.functions_corpus(c, "src", "y", "c", wanted=["CWE-9"]).collect()
     assert [(r.text, r.vulnerable) for r in got] == [("y", False)]
+
+
+def test_twins_stay_once(spark):
+    df = spark.createDataFrame([(0, "a", "b"), (1, "a", "c"), (2, "b", "d"), (3, "e", "b"), (4, "f", "g")], "ord long, func_before string, func_after string").selectExpr("*", "cast(array() as array<string>) as cwe", "'1' as vul")
+    got = readers.dedup_twins(readers.fixed_twins(df)).collect()
+    assert sorted((r.ord, r.variant, r.text) for r in got) == [(0, "after", "b"), (0, "before", "a"), (3, "before", "e"), (4, "after", "g"), (4, "before", "f")]
+
+
+def test_language_corpus(spark):
+    rows = [(0, 7, "x", "CWE-79", "CWE-80, CWE-20", "1", "C", "f"), (1, 7, "y", "CWE-79", None, "0", "c", "g"), (2, 8, "x", "CWE-79", None, "1", "c", "h"), (3, 9, "z", "CWE-1", None, "0", "c", "i"), (4, 9, "w", "CWE-79", None, "1", "java", "j")]
+    df = spark.createDataFrame(rows, "ord long, idx long, code string, CWE_ID string, RELATED_CWE string, target string, language string, function_name string")
+    got = sorted((r.sample_id, r.vulnerable, list(r.related_cwe)) for r in readers.language_corpus(df, ["c"], ["CWE-79"], "v").collect())
+    assert got == [("v_7", True, ["CWE-20", "CWE-80"]), ("v_7_2", False, [])]
+
+
+def test_sard(spark):
+    files = spark.createDataFrame([("/r/CWE122_x/bad/a.c", "c", "t"), ("/r/CWE122_x/good/b.c", "c", "t"), ("/r/CWE122_x/c.c", "c", "t")], "path string, language string, text string")
+    known, unknown = readers.sard(files, "/r")
+    assert sorted((r.file, r.vulnerable, list(r.cwe)) for r in known.collect()) == [("CWE122_x/bad/a.c", True, ["CWE-122"]), ("CWE122_x/good/b.c", False, ["CWE-122"])]
+    assert unknown.count() == 1
+    meta = spark.createDataFrame([("/r", "a", False), ("/r/CWE122_x", "xa1", True)], "folder string, name string, label boolean")
+    got = readers.sard_metadata(files.withColumn("stem", F.lit("a")), meta).collect()
+    assert {r.path[-3:]: r.vulnerable for r in got} == {"a.c": True, "b.c": True, "c.c": True}

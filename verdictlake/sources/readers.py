@@ -109,6 +109,43 @@ def fixed_twins(df: DataFrame) -> DataFrame:
     return rows.where((F.col("variant") == "before") | F.col("vul")).where(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).drop("vul")
 
 
+def dedup_twins(twins: DataFrame) -> DataFrame:
+    """The first sample of each text, by row and then before to after, whole
+    rows out where their before is a repeat.
+
+    In two passes: rows whose before stands in an earlier row are dropped, then
+    repeats among what is left.  Read in order, a row that is dropped would not
+    have lent its after to later rows; here it still does in the first pass.
+    """
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    place = F.struct("ord", F.col("variant") != "before")
+    keyed = twins.withColumn("key", key)
+    first = keyed.groupBy("key").agg(F.min("ord").alias("first_ord"))
+    repeats = keyed.where("variant = 'before'").join(first, "key").where("first_ord < ord").select("ord")
+    kept = keyed.join(repeats, "ord", "left_anti")
+    least = kept.groupBy("key").agg(F.min(place).alias("least"))
+    return kept.join(least, "key").where(place == F.col("least")).drop("key", "least")
+
+
+def language_corpus(df: DataFrame, languages: list[str] | None = None, wanted: list[str] | None = None, name: str = "corpus") -> DataFrame:
+    """A table of functions in several languages (ord, idx, code, CWE_ID,
+    RELATED_CWE, target, language, function_name) as samples.
+
+    The language is tested before anything else; the class filter holds for all
+    rows; equal sources stay once; ids that collide get _2, _3 and so on.
+    """
+    rows = df if languages is None else df.where(F.lower("language").isin(*[x.lower() for x in languages]))
+    rows = corpus.skip_empty(rows.withColumnRenamed("code", "text"))
+    columns = ["ord", "idx", "text", "CWE_ID", "RELATED_CWE", "target", "language", "function_name"]
+    rows = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.min_by(F.struct(*columns), "ord").alias("r")).select("r.*")
+    related = F.array_sort(F.array_distinct(C.cwe_from_field("RELATED_CWE")))
+    slug = F.left(F.regexp_replace(F.concat(F.lit(f"{name}_"), F.col("idx").cast("string")), r"[^A-Za-z0-9_.-]+", "_"), F.lit(80))
+    out = rows.select("ord", slug.alias("sample_id"), "text", C.label_cast("target").alias("vulnerable"), C.cwe_from_field("CWE_ID").alias("cwe"), related.alias("related_cwe"), F.lower("language").alias("language"), F.col("function_name").alias("function"))
+    if wanted:
+        out = corpus.cwe_filter(out, wanted, vulnerable_only=False)
+    return corpus.unique_ids(out, "sample_id").withColumn("sample_id", F.col("unique_id")).drop("unique_id")
+
+
 def juliet_pairs(df: DataFrame) -> DataFrame:
     """One row (filename, bad, good) as up to two samples."""
     pair = F.array(F.struct(F.lit("bad").alias("variant"), F.col("bad").alias("text")), F.struct(F.lit("good").alias("variant"), F.col("good").alias("text")))
