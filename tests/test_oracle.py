@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 from verdictlake.plans import registry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows_of(pdf, columns):
-    clean = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    clean = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return sorted(repr([clean(v) for v in r]) for r in pdf[columns].astype(object).values.tolist())
 
 

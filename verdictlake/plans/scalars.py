@@ -170,7 +170,7 @@ def missing_samples(spark, d):
 
 def sard_label(spark, d):
     path = F.expr("element_at(array('CWE/bad/a', 'CWE/good/bad_a', 'x/y/unsafe_a', 'x/y/z', 'fixed/y/a'), cast(page_id % 5 + 1 as int)) || page_id || '.c'")
-    return table(spark, d, "pages").select("page_id", K.sard_label(path).alias("label"))
+    return table(spark, d, "pages").select("page_id", F.coalesce(K.sard_label(path).cast("string"), F.lit("unclassified")).alias("label"))
 
 
 QUERIES = {f.__name__: f for f in (canonical_cwe, cwe_from_path, cwe_from_field, cwe_from_cell, clamp_confidence, parse_location, path_markers, fingerprint, names_in, call_head, severity_map, label_cast, sig_digits, sanitize_path, sanitize_identifiers, first_sink_line, code_line_filter, context_window, render_chain, skip_empty, cwe_filter, filter_manifest, noise_filter, verdict_filter, manifest_summary, per_cwe_counts, manifest_digest, dedup_first, unique_ids, stratified_subset, balanced_sample, top_cwes, union_variants, missing_samples, sard_label)}
@@ -212,5 +212,5 @@ ORACLE_SQL = {
     "top_cwes": sql("samples", "SELECT c AS class, count(*) AS n FROM samples GROUP BY 1 ORDER BY n DESC, class LIMIT 5"),
     "union_variants": sql("samples", "SELECT sample_id || '_good' AS variant_id, false AS label FROM samples UNION ALL SELECT sample_id || '_bad', true FROM samples WHERE vulnerable"),
     "missing_samples": sql("samples records", "SELECT sample_id FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM records)"),
-    "sard_label": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN false END AS label FROM pages",
+    "sard_label": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' WHEN 4 THEN 'false' ELSE 'unclassified' END AS label FROM pages",
 }
