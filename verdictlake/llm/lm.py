@@ -42,7 +42,7 @@ class Settings:
     most_bytes: int = 192 << 20  #: of the filter, whatever the number of entries
     common_words: int = 1 << 21  #: words whose exact counts are broadcast
     discount: float = 0.9
-    block_rows: int = 6_000_000  #: n-gram occurrences of a block, about
+    block_rows: int = 2_000_000  #: n-gram occurrences of a block, about
 
 
 def level_of(counts: np.ndarray, base: float) -> np.ndarray:
@@ -154,7 +154,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     order = np.argsort(h)
     h, c = h[order], c[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[new], np.add.reduceat(c, new) if len(new) else c
+    return h[new], np.add.reduceat(c, new, dtype=np.int64) if len(new) else c.astype(np.int64)
 
 
 _PACKED = "kind int, block int, hashes binary, counts binary"
@@ -174,11 +174,12 @@ def pack(kind: int, h: np.ndarray, c: np.ndarray, n_blocks: int) -> pa.RecordBat
 
 def unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The counts of one kind, summed by hash."""
-    parts = [(np.frombuffer(h, dtype="<u8"), np.frombuffer(c, dtype="<u4").astype(np.int64)) for k, h, c in zip(table["kind"].to_pylist(), table["hashes"].to_pylist(), table["counts"].to_pylist()) if k == kind]
-    return _merge(parts or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+    rows = zip(table["kind"].to_pylist(), table["hashes"], table["counts"])
+    parts = [(np.frombuffer(h.as_buffer(), dtype="<u8"), np.frombuffer(c.as_buffer(), dtype="<u4")) for k, h, c in rows if k == kind]
+    return _merge(parts or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))])
 
 
-def count_ngrams(texts: DataFrame, n_blocks: int, flush_tokens: int = 3_000_000) -> DataFrame:
+def count_ngrams(texts: DataFrame, n_blocks: int, flush_tokens: int = 2_000_000) -> DataFrame:
     """Counts of words and pairs, summed within flushes of a task and dealt to
     blocks by their own hashes, so that no word is too common for a block."""
 
