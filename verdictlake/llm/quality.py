@@ -167,34 +167,45 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return common.mapped(source, run, f"{types}, {STATS}", rows_per_batch=4096)
 
 
-def fit(measured: DataFrame, labels: DataFrame, most_rows: int = 20_000, odd_share: float = 0.02, good_lost: float = 0.003, bins: int = 2000) -> tuple[IsolationForest, float]:
+def fit(measured: DataFrame, labels: DataFrame, most_rows: int = 20_000, odd_share: float = 0.015, least_odd: int = 4, good_lost: float = 0.003, candidates: int = 4, bins: int = 2000) -> tuple[IsolationForest, float]:
     """(forest, threshold) from labels (doc_id, quality).
 
     The forest is fitted on at most most_rows labelled rows, the first by a
-    hash of doc_id: good ones, and as odd_share of them bad ones, so that the
-    odd kinds are there but rare.  The threshold is the least score, in steps
+    hash of doc_id: good ones, and as odd_share of them, but at least least_odd,
+    bad ones, so that the odd kinds are there but rare.  The threshold is the least score, in steps
     of 1/bins, above which at most good_lost of all good rows lie; all labelled
-    rows count.  Where no row is labelled good, nothing is odd.
+    rows count.  Of `candidates` forests with other bad rows that which finds
+    most bad rows is kept.  Where no row is labelled good, nothing is odd.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = common.materialize(measured.join(marks, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "quality", *RATES), "labelled")
-    first = lambda q, n: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(*RATES).toPandas().to_numpy(dtype=np.float64)
+    total = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    first = lambda q, n: common.sample_of(known.where(F.col("quality") == q), "doc_id", n, total.get(q, 0)).select(*RATES).toPandas().to_numpy(dtype=np.float64)
     good = first(1, most_rows)
     if not len(good):
         return IsolationForest(np.zeros((2, len(RATES)))), 2.0
-    bad = first(0, max(1, int(len(good) * odd_share)))
-    forest = IsolationForest(np.concatenate([good, bad]))
+    n_odd = max(least_odd, int(len(good) * odd_share))
+    bad = first(0, n_odd * candidates)
+    forests = [IsolationForest(np.concatenate([good, bad[k::candidates]]), seed=7 + k) for k in range(candidates)]
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(RATES))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.floor(forest.score(rows) * bins).astype(np.int64))], names=["quality", "bin"])
-
-    counts = known.where(F.col("quality") == 1).select("quality", *RATES).mapInArrow(scored, "quality long, bin long").groupBy("bin").count().toPandas()
-    line = np.zeros(bins + 2)
-    line[counts["bin"].to_numpy()] = counts["count"]
-    above = line[::-1].cumsum()[::-1]  # rows at or above a bin
-    return forest, float(np.flatnonzero(above <= good_lost * line.sum())[0]) / bins
+            for k, forest in enumerate(forests):
+                place = pa.array(np.floor(forest.score(rows) * bins).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k), pa.int64()), batch.column(0).cast(pa.int64()), place], names=["forest", "quality", "bin"])
+
+    counts = known.where("quality in (0, 1)").select("quality", *RATES).mapInArrow(scored, "forest long, quality long, bin long").groupBy("forest", "quality", "bin").count().toPandas()
+    best = (-1.0, forests[0], 2.0)
+    for k, forest in enumerate(forests):
+        line = np.zeros((2, bins + 2))
+        own = counts[counts["forest"] == k]
+        line[own["quality"].to_numpy(), own["bin"].to_numpy()] = own["count"]
+        above = line[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows at or above a bin
+        at = int(np.flatnonzero(above[1] <= good_lost * line[1].sum())[0])
+        if above[0][at] > best[0]:
+            best = (above[0][at], forest, at / bins)
+    return best[1], best[2]
 
 
 def verdicts(measured: DataFrame, forest: IsolationForest, threshold: float) -> DataFrame:

@@ -111,12 +111,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = 48, p
     """
     spark = vectors.sparkSession
     good = usable(vectors)
-    facts = good.agg(F.max(F.size("embedding")).alias("width"), F.count_if(F.expr(f"vec_id % {every} = 0")).alias("n")).first()
+    facts = good.agg(F.max(F.size("embedding")).alias("width"), F.count_if(F.expr(f"vec_id % {every} = 0")).alias("n"), F.count("*").alias("rows")).first()
     schema = "query_id long, rank int, vec_id long, score long"
     width, n_queries = facts["width"] or 0, facts["n"]
     if not n_queries:
         return spark.createDataFrame([], schema)
-    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(pivot_sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    drawn = common.sample_of(good, "vec_id", pivot_sample, facts["rows"]).select("embedding").toArrow()["embedding"].combine_chunks()
     pivots = choose_pivots(matrix(drawn, width), n_pivots)
 
     def measured(batches) -> Iterator[pa.RecordBatch]:

@@ -118,9 +118,9 @@ def sampled_labels(labels: DataFrame, most_each: int) -> tuple[DataFrame, float]
     the rows that may be learned from: crc32(doc_id) mod 5 is not 0; and the
     share of toxic ones among all of those."""
     free = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda t: free.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_each)
-    share = free.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    return first(1).unionAll(first(0)), share or 0.0
+    total = {r["toxic"]: r["count"] for r in free.groupBy("toxic").count().collect()}
+    first = lambda t: common.sample_of(free.where(F.col("toxic") == t), "doc_id", most_each, total.get(t, 0))
+    return first(1).unionAll(first(0)), total.get(1, 0) / max(1, sum(total.values()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_each: int = 2500, least_docs: int = 4, ratio: float = 4.0, tilt: float = 2.0) -> Model:
