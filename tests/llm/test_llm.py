@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from fractions import Fraction
@@ -295,6 +296,21 @@ def test_lm_rare_words_are_joined(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_filter_has_no_size_of_its_own(spark):
+    """Nothing of the filter is sent to tasks, and unseen n-grams stay unseen,
+    however many n-grams there are."""
+    settings, sizes = lm.Settings(common_words=100), []
+    for n in (5_000, 40_000):
+        rows = [(1, False, " ".join(f"a{k}" for k in range(n)).encode()), (2, True, " ".join(f"b{k}" for k in range(2_000)).encode())]
+        chunks = lm.chunks_of(spark.createDataFrame(rows, "doc_id long, held_out boolean, text binary"))
+        model, _, levels = lm.train(chunks, 3, settings)
+        sizes.append(len(pickle.dumps(model)))
+        for kind in (lm.WORD, lm.PAIR, lm.FOLLOW):
+            told = np.concatenate([np.frombuffer(r.counts, dtype=np.uint8) for r in levels.where(F.col("kind") == lm.SEEN + kind).collect()])
+            assert n <= (told > 0).sum() < n + 400 and len(told) > n + 1_900
+    assert abs(sizes[1] - sizes[0]) < 100
+
+
 def test_bloom_counts():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**63, 20_000, dtype=np.uint64)

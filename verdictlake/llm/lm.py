@@ -4,8 +4,10 @@ Counts of words and word pairs are quantised to levels, 1 + floor(log_b c), and
 an n-gram of level j is put into the filter as (n-gram, 1) .. (n-gram, j).  A
 count is read back by probing one level after another until one is missing.
 The filter is built in blocks, each by the task that has all counts of a range
-of hashes, and is broadcast; it has so many bits for each entry, up to a fixed
-size, beyond which false positives become commoner but no n-gram is left out.
+of hashes, with so many bits for each entry, so that it grows with the corpus
+and false positives stay as rare.  No process holds more than a block: texts
+are cut into chunks, each chunk's n-grams go to their blocks with their counts,
+and the levels read there come back to the chunk.
 
 The model interpolates: P(w|h) = max(c(h,w)-D, 0)/c(h) + backoff(h) * P(w), with
 an absolute discount D, and P(w) likewise with the mass of the words seen once
@@ -39,7 +41,6 @@ class Settings:
     base: float = 1.5  #: of the levels' logarithm
     probes: int = 4  #: bits of an entry
     bits_per_entry: float = 6.0  #: about probes / ln 2: half of the bits are set
-    most_bytes: int = 192 << 20  #: of the filter, whatever the number of entries
     common_words: int = 1 << 21  #: words whose exact counts are broadcast
     discount: float = 0.9
     block_rows: int = 2_000_000  #: n-gram occurrences of a block, about
@@ -92,8 +93,8 @@ class LogFrequencyBloom:
         sizes = np.array([len(x) for x in parts], dtype=np.uint64)
         return cls(np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64) * U(8), np.array([blocks[b][1] if b in blocks else 1 for b in range(n)], dtype=np.uint64), settings)
 
-    def counts(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
-        """Quantised counts: levels are probed until one is missing."""
+    def levels(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """Levels are probed until one is missing."""
         out = np.zeros(len(hashes), dtype=np.int64)
         block = block_of(hashes, len(self.n_bits))
         left, level = np.arange(len(hashes)), 0
@@ -105,7 +106,11 @@ class LogFrequencyBloom:
                 at = start + _bits(h, level, k, n_bits)
                 there = (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
                 left, h, start, n_bits = left[there], h[there], start[there], n_bits[there]
-        return count_of(out, self.settings.base)
+        return out
+
+    def counts(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """Quantised counts."""
+        return count_of(self.levels(hashes, salt), self.settings.base)
 
 
 def block_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -157,19 +162,25 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return h[new], np.add.reduceat(c, new, dtype=np.int64) if len(new) else c.astype(np.int64)
 
 
-_PACKED = "kind int, block int, hashes binary, counts binary"
-_PACKED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-WORD, PAIR, FOLLOW = 0, 1, 2
+_PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_PACKED = "chunk long, kind int, block int, hashes binary, counts binary"
+#: ASK: histories whose followers a chunk asks for.  SEEN + kind: levels read.
+WORD, PAIR, FOLLOW, ASK, SEEN = 0, 1, 2, 3, 10
 
 
-def pack(kind: int, h: np.ndarray, c: np.ndarray, n_blocks: int) -> pa.RecordBatch:
-    """Counts by hash, dealt to blocks: one row for each block."""
+def deal(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of hashes by block, end of each block's)."""
     where = block_of(h, n_blocks)
     order = np.argsort(where, kind="stable")
-    ends = np.searchsorted(where[order], np.arange(n_blocks + 1))
+    return order, np.searchsorted(where[order], np.arange(n_blocks + 1))
+
+
+def pack(kind: int, h: np.ndarray, c: np.ndarray, n_blocks: int, chunk: int = -1) -> pa.RecordBatch:
+    """Counts by hash, dealt to blocks: one row for each block."""
+    order, ends = deal(h, n_blocks)
     used = [b for b in range(n_blocks) if ends[b + 1] > ends[b]]
     cut = [order[ends[b] : ends[b + 1]] for b in used]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([h[i].tobytes() for i in cut], pa.binary()), pa.array([c[i].astype("<u4").tobytes() for i in cut], pa.binary())], schema=_PACKED_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(used), pa.int64()), pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([h[i].tobytes() for i in cut], pa.binary()), pa.array([c[i].astype("<u4").tobytes() for i in cut], pa.binary())], schema=_PACKED_ARROW)
 
 
 def unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,54 +190,125 @@ def unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return _merge(parts or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))])
 
 
-def count_ngrams(texts: DataFrame, n_blocks: int, flush_tokens: int = 2_000_000) -> DataFrame:
-    """Counts of words and pairs, summed within flushes of a task and dealt to
-    blocks by their own hashes, so that no word is too common for a block."""
+def answers(table: pa.Table, kind: int, seen: int, values: np.ndarray, levels: np.ndarray) -> pa.RecordBatch:
+    """For each row of a kind the levels of its hashes, as bytes."""
+    rows = [(c, b, levels[np.searchsorted(values, np.frombuffer(h.as_buffer(), dtype="<u8"))].astype(np.uint8).tobytes()) for c, k, b, h in zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["block"].to_pylist(), table["hashes"]) if k == kind]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([SEEN + seen] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_PACKED_ARROW)
+
+
+_CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, places binary"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+
+
+def chunks_of(source: DataFrame, chunk_tokens: int = 2_000_000) -> DataFrame:
+    """Rows (doc_id, held_out, text as bytes) in chunks of about so many tokens:
+    the chunk's distinct words ascending, the places of its tokens among them,
+    and each document's number of tokens."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        held: list[tuple] = []
+        n, number = 0, TaskContext.get().partitionId() << 20
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (WORD, PAIR):
-                yield pack(kind, *_unique_counts(np.concatenate([x[kind] for x in held])), n_blocks)
+        def flush() -> pa.RecordBatch:
+            words, places = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+            one = lambda values, kind: pa.array([[v for x in values for v in x.to_pylist()]], pa.list_(kind))
+            sizes = np.concatenate([x[3] for x in held])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one([x[0] for x in held], pa.int64()), one([x[1] for x in held], pa.bool_()), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<i4"), words.astype("<u8"), places.astype("<u4"))]], schema=_CHUNK_ARROW)
 
         for batch in batches:
-            for at, end in textvec.cut(batch.column(0)):
-                h, doc = tokens(textvec.words_of(batch.column(0).slice(at, end - at)))
-                held.append((h, pairs(h, doc)[0]))
+            for at, end in textvec.cut(batch.column(2)):
+                h, doc = tokens(textvec.words_of(batch.column(2).slice(at, end - at)))
+                held.append((batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), h, np.bincount(doc, minlength=end - at)))
                 n += len(h)
-                if n >= flush_tokens:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
+                if n >= chunk_tokens:
+                    yield flush()
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return common.mapped(source, run, _CHUNK, rows_per_batch=4096)
+
+
+@dataclass
+class Chunk:
+    """A row of chunks_of."""
+
+    number: int
+    held: np.ndarray
+    doc: np.ndarray  #: of each token
+    words: np.ndarray
+    at: np.ndarray  #: place of each token among the words
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+        sizes, words, at = (np.frombuffer(rows[c][i].as_buffer(), dtype=t) for c, t in (("sizes", "<i4"), ("words", "<u8"), ("places", "<u4")))
+        return cls(rows["chunk"][i].as_py(), np.array(rows["held"][i].as_py(), dtype=bool), np.repeat(np.arange(len(sizes)), sizes), words, at)
+
+    def pairs(self) -> np.ndarray:
+        return pairs(self.words[self.at], self.doc)[0]
 
-    return common.mapped(texts, run, _PACKED, rows_per_batch=4096)
+    def before(self) -> np.ndarray:
+        """Place of each token's history among the words."""
+        out = np.empty_like(self.at)
+        end = np.searchsorted(self.words, U(END))
+        out[:1] = end
+        out[1:] = np.where(self.doc[1:] == self.doc[:-1], self.at[:-1], end)
+        return out
+
+
+def count_ngrams(chunks: DataFrame, n_blocks: int) -> DataFrame:
+    """Words and pairs of each chunk with their counts in the texts learned from
+    (0 where only a held-out text has them), dealt to blocks by their own
+    hashes, so that no word is too common for a block."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = Chunk.of(batch, i)
+                learned = ~c.held[c.doc]
+                yield pack(WORD, c.words, np.bincount(c.at[learned], minlength=len(c.words)), n_blocks, c.number)
+                two = c.pairs()
+                values, n = _unique_counts(two[learned])
+                if not learned.all():
+                    others = _unique_counts(two[~learned])[0]
+                    values, n = _merge([(values, n), (others, np.zeros(len(others), dtype=np.int64))])
+                yield pack(PAIR, values, n, n_blocks, c.number)
+
+    return common.mapped(chunks, run, _PACKED, rows_per_batch=1)
+
+
+def ask_follows(chunks: DataFrame, n_blocks: int) -> DataFrame:
+    """The histories of each chunk, dealt to blocks."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                asked = np.unique(history(np.frombuffer(words.as_buffer(), dtype="<u8")))
+                yield pack(ASK, asked, np.zeros(len(asked), dtype=np.int64), n_blocks, number)
+
+    return common.mapped(chunks.select("chunk", "words"), run, _PACKED, rows_per_batch=1)
+
+
+_COUNTED = _PACKED + ", n_tokens long, n_types long, n_once long"
+_COUNTED_ARROW = pa.schema([*_PACKED_ARROW, ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_once", pa.int64())])
 
 
 @dataclass
 class Model:
-    ngrams: LogFrequencyBloom  #: words and pairs
-    follows: LogFrequencyBloom  #: distinct followers of histories
+    settings: Settings
     n_tokens: int
     n_types: int
     n_once: int
     common_hashes: np.ndarray
     common_counts: np.ndarray
 
-    def log10(self, h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """log10 of the probability of each document's tokens.
+    def log10(self, word: np.ndarray, given: np.ndarray, pair: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token, from the counts of the word,
+        its history, both, and the history's distinct followers.
 
-        Counts come from the filter.  Unknown words share the mass of the words
-        seen once.
+        Unknown words share the mass of the words seen once.
         """
-        d = self.ngrams.settings.discount
-        two, before = pairs(h, doc)
-        word = self._probe(self.ngrams, h, WORD)
-        given = self._probe(self.ngrams, before, WORD)
-        pair = self._probe(self.ngrams, two, PAIR)
-        follow = self._probe(self.follows, history(before), FOLLOW)
+        d = self.settings.discount
         total = max(1, self.n_tokens)
         unknown = max(1, self.n_once) / total
         single = np.where(word > 0, np.maximum(word - unknown, 0.05) / total * (1 - unknown), unknown)
@@ -234,53 +316,50 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.where(given > 0, np.maximum(pair - d, 0) / given, 0.0)
             back = np.where(given > 0, np.minimum(1.0, d * np.maximum(follow, 1) / given), 1.0)
-        p = np.minimum(1.0, seen + back * single)
-        return np.bincount(doc, weights=np.log10(np.maximum(p, 1e-30)), minlength=n_docs)
+        return np.log10(np.maximum(np.minimum(1.0, seen + back * single), 1e-30))
 
-    @staticmethod
-    def _probe(where: LogFrequencyBloom, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """Counts; repeated hashes are probed once."""
-        values, place = np.unique(hashes, return_inverse=True)
-        return where.counts(values, _SALT[kind])[place]
 
+def blocks_for(source: DataFrame, settings: Settings) -> int:
+    """Number of blocks for the texts learned from."""
+    size = source.where(~F.col("held_out")).agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-(size // 6) // settings.block_rows))
 
-_COUNTED = "kind int, block int, hashes binary, counts binary, bits binary, n_bits long, n_tokens long, n_types long, n_once long"
-_COUNTED_ARROW = pa.schema([*_PACKED_ARROW, ("bits", pa.binary()), ("n_bits", pa.int64()), ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_once", pa.int64())])
 
+def train(chunks: DataFrame, n_blocks: int, settings: Settings = Settings()) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, exact counts of all words, levels of each chunk's n-grams)."""
 
-def train(texts: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """(model, exact counts of all words) from texts as bytes (one column)."""
-    size = texts.agg(F.sum(F.length(texts.columns[0]))).first()[0] or 0
-    n_blocks = max(1, -(-(size // 6) // settings.block_rows))
-    most_bits = settings.most_bytes * 8 / n_blocks
+    def block(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> LogFrequencyBloom:
+        hashes = np.concatenate([h[c > 0] ^ _SALT[kind] for kind, h, c in entries])
+        return LogFrequencyBloom.of({0: build_block(hashes, np.concatenate([c[c > 0] for _, _, c in entries]), math.inf, settings)}, 1, settings)
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
-        """For each block its filter and words, and followers dealt anew."""
+        """For each block its words, its answers, and followers dealt anew."""
+        whole = lambda part: pa.RecordBatch.from_arrays([*part.columns, *[pa.nulls(part.num_rows, pa.int64())] * 3], schema=_COUNTED_ARROW)
         for group in common.groups_of(batches, ["block"]):
             words, counts = unpack(group, WORD)
             two, times = unpack(group, PAIR)
-            bits, n_bits = build_block(np.concatenate([words ^ _SALT[WORD], two ^ _SALT[PAIR]]), np.concatenate([counts, times]), most_bits * 0.8, settings)
-            row = {"kind": [WORD], "block": [group["block"][0].as_py()], "hashes": [words.tobytes()], "counts": [counts.astype("<i8").tobytes()], "bits": [bits], "n_bits": [n_bits], "n_tokens": [int(counts.sum())], "n_types": [len(words)], "n_once": [int((counts == 1).sum())]}
+            bloom = block([(WORD, words, counts), (PAIR, two, times)])
+            yield whole(answers(group, WORD, WORD, words, bloom.levels(words, _SALT[WORD])))
+            yield whole(answers(group, PAIR, PAIR, two, bloom.levels(two, _SALT[PAIR])))
+            words, counts = words[counts > 0], counts[counts > 0]
+            row = {"chunk": [-1], "kind": [WORD], "block": [group["block"][0].as_py()], "hashes": [words.tobytes()], "counts": [counts.astype("<i8").tobytes()], "n_tokens": [int(counts.sum())], "n_types": [len(words)], "n_once": [int((counts == 1).sum())]}
             yield pa.RecordBatch.from_pydict(row, schema=_COUNTED_ARROW)
-            dealt = pack(FOLLOW, *_unique_counts(two >> U(32)), n_blocks)
-            yield pa.RecordBatch.from_arrays([*dealt.columns, *[pa.nulls(dealt.num_rows, f.type) for f in list(_COUNTED_ARROW)[4:]]], schema=_COUNTED_ARROW)
+            yield whole(pack(FOLLOW, *_unique_counts(two[times > 0] >> U(32)), n_blocks))
 
     def gather_follows(batches) -> Iterator[pa.RecordBatch]:
         for group in common.groups_of(batches, ["block"]):
             values, n = unpack(group, FOLLOW)
-            bits, n_bits = build_block(values ^ _SALT[FOLLOW], n, most_bits * 0.2, settings)
-            yield pa.RecordBatch.from_pydict({"block": [group["block"][0].as_py()], "bits": [bits], "n_bits": [n_bits]}, schema=pa.schema([("block", pa.int32()), ("bits", pa.binary()), ("n_bits", pa.int64())]))
+            asked = unpack(group, ASK)[0]
+            yield answers(group, ASK, FOLLOW, asked, block([(FOLLOW, values, n)]).levels(asked, _SALT[FOLLOW]))
 
     by_block = lambda df: df.repartition(n_blocks, "block").sortWithinPartitions("block")
-    counted = common.materialize(by_block(count_ngrams(texts, n_blocks)).mapInArrow(gather, _COUNTED), "lm-counts")
+    counted = common.materialize(by_block(count_ngrams(chunks, n_blocks)).mapInArrow(gather, _COUNTED), "lm-counts")
     own = counted.where(F.col("kind") == WORD)
     facts = own.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_once")).first()
     n_tokens, n_types, n_once = (int(x or 0) for x in facts)
-    follows = by_block(counted.where(F.col("kind") == FOLLOW).select("kind", "block", "hashes", "counts")).mapInArrow(gather_follows, "block int, bits binary, n_bits long")
-
-    def filter_of(rows: DataFrame) -> LogFrequencyBloom:
-        t = rows.select("block", "bits", "n_bits").toArrow()
-        return LogFrequencyBloom.of({b: (x, n) for b, x, n in zip(*(c.to_pylist() for c in t.columns))}, n_blocks, settings)
+    packed = _PACKED_ARROW.names
+    follows = by_block(counted.where(F.col("kind") == FOLLOW).select(packed).unionByName(ask_follows(chunks, n_blocks))).mapInArrow(gather_follows, _PACKED)
+    levels = counted.where(F.col("kind") >= SEEN).select(packed).unionByName(follows).drop("hashes")
 
     def each_word(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +375,15 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> tuple[Model, Dat
     known = counts.where(F.col("c") >= least).toArrow()
     h, c = known["word"].to_numpy().view(np.uint64), known["c"].to_numpy()
     order = np.argsort(h)
-    return Model(filter_of(own), filter_of(follows), n_tokens, n_types, n_once, h[order], c[order]), counts
+    return Model(settings, n_tokens, n_types, n_once, h[order], c[order]), counts, levels
+
+
+def levels_in(table: pa.Table, kind: int, values: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The levels that blocks have answered for a chunk's ascending hashes."""
+    told = sorted((b, x.as_buffer()) for k, b, x in zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["counts"]) if k == SEEN + kind)
+    out = np.empty(len(values), dtype=np.uint8)
+    out[deal(values, n_blocks)[0]] = np.concatenate([np.frombuffer(x, dtype=np.uint8) for _, x in told])
+    return out
 
 
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -312,7 +399,9 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     source = docs.select("doc_id", held.alias("held_out"), common.text_bytes().alias("text"))
-    model, counts = train(source.where(~F.col("held_out")).select("text"), settings)
+    n_blocks = blocks_for(source, settings)
+    chunks = common.materialize(chunks_of(source), "lm-chunks")
+    model, counts, levels = train(chunks, n_blocks, settings)
     sent = spark.sparkContext.broadcast(model)
     n, v = model.n_tokens, model.n_types
     below = math.log10(n + 0.1 * (v + 1))
@@ -320,22 +409,33 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at, end in textvec.cut(batch.column(2)):
-                size = end - at
-                h, doc = tokens(textvec.words_of(batch.column(2).slice(at, size)))
-                i = np.minimum(np.searchsorted(m.common_hashes, h), max(0, len(m.common_hashes) - 1))
-                c = np.where(m.common_hashes[i] == h, m.common_counts[i], 0) if len(m.common_hashes) else np.zeros(len(h), dtype=np.int64)
-                rare = np.zeros(len(h), dtype=bool) if all_known else c == 0
-                base = np.bincount(doc[~rare], weights=np.log10(c[~rare] + 0.1) - below, minlength=size)
-                n_known = np.bincount(doc[c > 0], minlength=size)
-                ends = np.searchsorted(doc[rare], np.arange(size + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), batch.column(0).slice(at, size), batch.column(1).slice(at, size), pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(m.log10(h, doc, size)), lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-                row += size
-
-    scored = common.mapped(source, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>", rows_per_batch=4096)
+        for group in common.groups_of(batches, ["chunk"]):
+            at = group["kind"].to_pylist().index(-1)
+            chunk = Chunk.of(group, at)
+            doc, size = chunk.doc, len(chunk.held)
+            count = lambda kind, values: count_of(levels_in(group, kind, values, n_blocks).astype(np.int64), settings.base)
+            before = chunk.before()
+            word = count(WORD, chunk.words)
+            asked, place = np.unique(history(chunk.words), return_inverse=True)
+            follow = count(FOLLOW, asked)[place][before]
+            two, place = np.unique(chunk.pairs(), return_inverse=True)
+            logs = m.log10(word[chunk.at], word[before], count(PAIR, two)[place], follow)
+            score = np.bincount(doc, weights=logs, minlength=size)
+            h = chunk.words
+            i = np.minimum(np.searchsorted(m.common_hashes, h), max(0, len(m.common_hashes) - 1))
+            c = np.where(m.common_hashes[i] == h, m.common_counts[i], 0) if len(m.common_hashes) else np.zeros(len(h), dtype=np.int64)
+            c = c[chunk.at]
+            rare = np.zeros(len(c), dtype=bool) if all_known else c == 0
+            base = np.bincount(doc[~rare], weights=np.log10(c[~rare] + 0.1) - below, minlength=size)
+            n_known = np.bincount(doc[c > 0], minlength=size)
+            ends = np.searchsorted(doc[rare], np.arange(size + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[chunk.at[rare]].view(np.int64)))
+            row = chunk.number << 23
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), pa.array(group["doc_ids"][at].as_py(), pa.int64()), pa.array(chunk.held), pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+
+    together = levels.unionByName(chunks.withColumns({"kind": F.lit(-1), "block": F.lit(-1)}), allowMissingColumns=True)
+    dealt = together.repartition(n_blocks, "chunk").sortWithinPartitions("chunk")
+    scored = dealt.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
     final = [F.lit(n).cast("long").alias("train_tokens")]
     if all_known:
         return scored.select("doc_id", "held_out", "n_tokens", "n_known", *final, F.col("base").alias("base_score"), "score")
