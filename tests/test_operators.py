@@ -101,6 +101,13 @@ def test_claim_sites_compare_with_the_first(spark):
     assert {r.ord: r.site for r in verdicts.claim_sites(df).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_evidence_without_a_line_is_near(spark):
+    ev = spark.createDataFrame([("f", 10, 0), ("f", None, 1), ("f", 90, 2), ("g", 50, 3), ("g", 60, 4)], "file string, line int, chain int")
+    asked = spark.createDataFrame([(0, "f", 12), (1, "f", 50), (2, "f", None), (3, "g", 5)], "id long, file string, line int")
+    got = sorted((r.id, r.chain) for r in verdicts.near_or_all(ev, asked).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (2, 0), (2, 1), (2, 2), (3, 3), (3, 4)]
+
+
 def chains(text, language):
     return [(c["category"], c["proven"], c["mitigation_rule"], c["origin"]) for c in taint.file_chains(facts.file_facts("p", language, text))]
 

@@ -18,8 +18,9 @@ def echo_antijoin(hypotheses: DataFrame, findings: DataFrame) -> DataFrame:
 
 def near_or_all(evidence: DataFrame, asked: DataFrame, radius: int = 12) -> DataFrame:
     """For each question (id, file, line) the evidence of its file at most
-    `radius` lines away, or all of it where none is."""
-    pairs = asked.select("id", "file", F.col("line").alias("at")).join(evidence, "file").withColumn("near", F.coalesce(F.abs(F.col("line") - F.col("at")) <= radius, F.lit(False)))
+    `radius` lines away, or all of it where none is.  Evidence without a line is
+    always near, and so is all of it to a question without one."""
+    pairs = asked.select("id", "file", F.col("line").alias("at")).join(evidence, "file").withColumn("near", F.coalesce(F.abs(F.col("line") - F.col("at")) <= radius, F.lit(True)))
     any_near = pairs.groupBy("id").agg(F.max("near").alias("any_near"))
     return pairs.join(any_near, "id").where("near or not any_near")
 
