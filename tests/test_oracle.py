@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from verdictlake.plans import registry
+from verdictlake.plans import registry, views
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +44,9 @@ def test_rows_only(spark, name):
 def test_candidates_have_no_nested_loop(spark):
     plan = registry.QUERIES["match_candidates"](spark, DATA)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_all_findings_are_correlated(spark):
+    want = views.findings(spark, DATA).select("file", "line", "cwe", "rule_id").distinct().groupBy("file").count().collect()
+    got = registry.QUERIES["correlate_findings"](spark, DATA).collect()
+    assert {r.file: r.findings for r in got} == {r.file: r["count"] for r in want}

@@ -36,7 +36,7 @@ def _correlated(spark, d):
 
 
 def correlate_findings(spark, d):
-    g = N.correlate(_correlated(spark, d).where("line between 20 and 60 or line > 150"))
+    g = N.correlate(_correlated(spark, d))
     return g.groupBy("file").agg(F.count_distinct("group").alias("groups"), F.count("*").alias("findings"))
 
 
