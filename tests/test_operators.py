@@ -108,6 +108,16 @@ def test_evidence_without_a_line_is_near(spark):
     assert got == [(0, 0), (0, 1), (1, 1), (2, 0), (2, 1), (2, 2), (3, 3), (3, 4)]
 
 
+def test_context_is_widened_to_the_function(spark):
+    text = "\n".join(f"l{k}" for k in range(1, 1001))
+    rows = [(0, "f", 50, text), (1, "f", 400, text), (2, "f", 950, text), (3, "f", None, text), (4, "g", 3, "a\nb\nc\nd"), (5, "f", 790, text)]
+    functions = spark.createDataFrame([(0, "f", 40, 90), (1, "f", 45, 60), (2, "f", 100, 900), (3, "g", 1, 9)], "ord long, file string, start_line int, end_line int")
+    got = {r.ord: r for r in findings_ops.source_context(spark.createDataFrame(rows, "ord long, file string, line int, text string"), functions).collect()}
+    spans = {k: (r.start_line, r.end_line, r.truncated) for k, r in got.items()}
+    assert spans == {0: (40, 90, False), 1: (300, 699, True), 2: (942, 958, False), 3: (1, 17, False), 4: (1, 4, False), 5: (590, 900, True)}
+    assert got[4].snippet == "     1: a\n     2: b\n     3: c\n     4: d" and got[1].snippet.split("\n")[100] == "   400: l400"
+
+
 def chains(text, language):
     return [(c["category"], c["proven"], c["mitigation_rule"], c["origin"]) for c in taint.file_chains(facts.file_facts("p", language, text))]
 

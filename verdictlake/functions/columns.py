@@ -253,12 +253,31 @@ def names_in(expression) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(_c(expression), F.lit(r"([A-Za-z_]\w*)"), F.lit(1))), F.array(*map(F.lit, KEYWORDS)))
 
 
-def context_window(text, line, radius: int = 8, most: int = 400) -> Column:
-    """Numbered lines around a line; without one the first 2r+1."""
-    lines = F.split(_c(text), "\n")
-    first = F.when(_c(line).isNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), _c(line) - radius))
-    last = F.least(F.size(lines), F.when(_c(line).isNull(), F.lit(2 * radius + 1)).otherwise(_c(line) + radius), first + most - 1)
-    part = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+def context_span(text, line, radius: int = 8, most: int = 400, bounds=None) -> Column:
+    """start_line, end_line and truncated of the window around a line; without
+    one the first 2r+1.  Bounds (start_line, end_line of the function around
+    it) widen the window; one of more than `most` lines is then cut around the
+    line, and truncated says so."""
+    n, at = F.size(F.split(_c(text), "\n")), _c(line)
+    first, last, cut = F.greatest(F.lit(1), at - radius), F.least(n, at + radius), F.lit(False)
+    if bounds is not None:
+        start, end = _c(bounds).getField("start_line"), _c(bounds).getField("end_line")
+        unit = F.coalesce(start < end, F.lit(False))
+        first = F.when(unit, F.greatest(F.lit(1), F.least(first, start))).otherwise(first)
+        last = F.when(unit, F.least(n, F.greatest(last, end))).otherwise(last)
+        keep = F.when(at - first < most, F.greatest(F.lit(1), most - (at - first))).otherwise(most // 2)
+        cut = unit & (last - first + 1 > most)
+        first = F.when(cut, F.greatest(first, at - keep)).otherwise(first)
+        last = F.when(cut, F.least(last, first + most - 1)).otherwise(last)
+    none = at.isNull() | (at < 1)
+    return F.struct(F.when(none, F.lit(1)).otherwise(first).cast("int").alias("start_line"), F.when(none, F.least(n, F.lit(2 * radius + 1))).otherwise(last).cast("int").alias("end_line"), F.coalesce(~none & cut, F.lit(False)).alias("truncated"))
+
+
+def context_window(text, line, radius: int = 8, most: int = 400, bounds=None) -> Column:
+    """Numbered lines of context_span."""
+    span = context_span(text, line, radius, most, bounds)
+    first, last = span.getField("start_line"), span.getField("end_line")
+    part = F.slice(F.split(_c(text), "\n"), first, F.greatest(last - first + 1, F.lit(0)))
     return F.array_join(F.transform(part, lambda x, i: F.concat(F.lpad((i + first).cast("string"), 6, " "), F.lit(": "), x)), "\n")
 
 

@@ -37,6 +37,16 @@ def first_function(df: DataFrame, functions: DataFrame) -> DataFrame:
     return inside.groupBy("ord").agg(F.min_by("function", "f_ord").alias("function"))
 
 
+def source_context(df: DataFrame, functions: DataFrame, radius: int = 8, most: int = 400) -> DataFrame:
+    """ord, start_line, end_line, truncated and snippet of each row (ord, file,
+    line, text): its window, widened to the first function around it."""
+    f = functions.select("file", "start_line", "end_line", F.col("ord").alias("f_ord"))
+    inside = df.select("ord", "file", "line").join(f, "file").where("start_line < end_line and start_line <= line and line <= end_line")
+    bounds = inside.groupBy("ord").agg(F.min_by(F.struct("start_line", "end_line"), "f_ord").alias("bounds"))
+    window = (radius, most, "bounds")
+    return df.join(bounds, "ord", "left").select("ord", C.context_span("text", "line", *window).alias("span"), C.context_window("text", "line", *window).alias("snippet")).select("ord", "span.*", "snippet")
+
+
 def canonical_member(df: DataFrame, group: list[str]) -> DataFrame:
     """The most severe member, the earliest line of those, the first of those."""
     key = F.struct(C.severity_rank("severity"), -F.coalesce("line", F.lit(1_000_000_000)), -F.col("ord"))
