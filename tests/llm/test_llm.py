@@ -229,6 +229,23 @@ def test_warc_of_others(spark, tmp_path):
     assert sorted((r.record_id, bytes(r.payload)) for r in got) == [("urn:a", b"hello")] * 2 + [("urn:b", b"bye")] * 2
 
 
+def test_warc_lengths_of_others(spark, tmp_path):
+    """Payload lengths where no HTTP header tells them, and predicates on them."""
+    noise = np.random.default_rng(1).bytes(60_000).hex().encode()
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 9_000 + b"\r\n\r\n" + noise
+    blocks = [("resource", noise), ("response", http), ("metadata", b"a: b"), ("resource", b"")]
+    records = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(x)}\r\n\r\n".encode() + x + b"\r\n\r\n" for k, (kind, x) in enumerate(blocks)]
+    for name, data in (("plain", b"".join(records)), ("members", b"".join(map(gzip.compress, records))), ("lengths", b"".join(warc.member(r, 1) for r in records))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ("a.warc" if name == "plain" else "a.warc.gz")).write_bytes(data)
+        for payload in ("true", "false"):
+            read = warc.read_warc(spark, str(tmp_path / name), payload=payload)
+            assert [r.payload_bytes for r in read.orderBy("record_id").collect()] == [120_000, 120_000, 4, 0]
+            assert read.where("payload_bytes = 120000").count() == 2
+            if payload == "true":
+                assert {len(r.payload) for r in read.where("payload_bytes = 120000").collect()} == {120_000}
+
+
 def test_shards(spark, docs, empty):
     store = sharding.shard(docs, common.work_path(spark, "shards"), arrivals=8, fan_in=3)
     key = lambda df: sorted(map(repr, df.collect()))

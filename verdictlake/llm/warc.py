@@ -219,14 +219,16 @@ def _row(block: bytes, position: int) -> tuple[dict, int]:
     return row, int(h.get("content-length", 0))
 
 
-def _http(row: dict, body: bytes) -> None:
-    """Payload and its length from an HTTP block; other blocks are payload."""
+def _http(row: dict, body: bytes, length: int) -> None:
+    """Payload and its length from an HTTP block; other blocks are payload.
+    The body may be a block's first part, its headers at least; length is the
+    whole block's."""
     if body.startswith(b"HTTP/"):
-        head, _, rest = body.partition(b"\r\n\r\n")
+        head, blank, rest = body.partition(b"\r\n\r\n")
         n = headers_of(head).get("content-length")
-        row["payload_bytes"] = int(n) if n and n.isdigit() else len(rest)
+        row["payload_bytes"] = int(n) if n and n.isdigit() else length - len(head) - len(blank)
     else:
-        rest, row["payload_bytes"] = body, len(body)
+        rest, row["payload_bytes"] = body, length
     row["payload"] = rest
 
 
@@ -239,7 +241,12 @@ def records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
             row, n = _row(head, position)
             start = f.tell()
             body = f.read(n if payload else min(n, 4096))
-            _http(row, body)
+            while body.startswith(b"HTTP/") and b"\r\n\r\n" not in body and len(body) < n:
+                more = f.read(min(n - len(body), 1 << 16))
+                if not more:
+                    raise ValueError(f"a record is cut off at {position}")
+                body += more
+            _http(row, body, n)
             if wanted(row):
                 yield row
             f.seek(start + n + 4)
@@ -264,7 +271,7 @@ def records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
                 raise ValueError(f"a record is cut off at {position}")
             plain += inflate.decompress(more)
         row, n = _row(plain[:at], position)
-        _http(row, plain[at + 4 : at + 4 + n])
+        _http(row, plain[at + 4 : at + 4 + n], n)
         want = wanted(row)
         if known is None or (want and payload):
             parts = [plain]
@@ -276,7 +283,7 @@ def records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
             end = f.tell() - len(inflate.unused_data)
             if want and payload:
                 plain = b"".join(parts)
-                _http(row, plain[at + 4 : at + 4 + n])
+                _http(row, plain[at + 4 : at + 4 + n], n)
         else:
             end = known
         if want:
