@@ -190,6 +190,14 @@ def test_jaccard_odd_rows(docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_components_are_whole_or_an_error(spark):
+    """A long chain is one component, and none is given in parts."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.node: r.root for r in jaccard.connected(edges).collect()} == {k: 0 for k in range(1, 41)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        jaccard.connected(edges, most_rounds=2)
+
+
 @pytest.mark.parametrize("recall", [0.9, 0.99, 0.9999])
 def test_bands_reach_the_recall(recall):
     n, rows = jaccard.Settings(recall=recall).bands()

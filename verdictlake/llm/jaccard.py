@@ -12,6 +12,7 @@ the least set that it is connected to.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -262,12 +263,15 @@ def verify(tasks: DataFrame, settings: Settings) -> DataFrame:
     return tasks.mapInArrow(run, "key binary, n_links long, n_text_links long, root binary")
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root) of the nodes of edges (a, b): the least node of each
-    component, by alternating large and small stars."""
+    component, by alternating large and small stars until nothing changes.
+    Where that takes more than most_rounds, it is an error."""
     edges = common.materialize(edges.where("a <> b").distinct(), "cc")
     before = None
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
