@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import math
 import os
 import re
@@ -14,10 +15,13 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import textvec
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -26,18 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the
+    one that the session was given by setCheckpointDir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set as the checkpoint folder.
+    Only where both are unset and everything runs on one machine, as in tests,
+    a temporary folder is made.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = context.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="verdictlake-")
-        spark.sparkContext.setCheckpointDir(_FOLDERS[app])
     return _FOLDERS[app]
 
 
@@ -48,6 +55,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in itertools.count() if (n := f"{name}_{k}" if k else name).lower() not in taken)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as an object."""
     jvm = spark.sparkContext._jvm
@@ -138,6 +151,21 @@ def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def slabs_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows from a stream of batches."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def sample_of(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """At most n of total rows, the same ones every time: those whose key's
     hash is below a cut that lets about n through, and of them the first n.
@@ -149,69 +177,108 @@ def sample_of(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
 
 # ---- tokenizers -------------------------------------------------------------
 
-#: White space outside the ASCII six, and separators on which libraries differ.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUNS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: A space perhaps, plain Latin letters, then punctuation but apostrophes.
-_PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-#: Beyond these letters, folding case may depend on more than the letter.
-_NOT_LATIN = re.compile("[^\x00-\u024f]")
+#: UTF-8 of white space outside the ASCII six, and of separators on which
+#: libraries differ; binary columns are matched byte by byte.
+_ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_SPACE, _LETTER, _MARK, _APOSTROPHE = 1, 2, 3, 4
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_CLASS[[c for c in range(128) if chr(c).isdigit()]] = 0
+_CLASS[ord("'")] = _APOSTROPHE
+_CLASS[textvec.SPACE] = _SPACE
+#: Whether a unit starts between bytes of two classes: before white space,
+#: between letters and marks, but not in what an apostrophe begins.
+_CUT = np.zeros(64, dtype=bool)
+for _a, _b in [(c, _SPACE) for c in (0, _LETTER, _MARK, _APOSTROPHE)] + [(_LETTER, _MARK), (_LETTER, _APOSTROPHE), (_MARK, _LETTER)]:
+    _CUT[_a * 8 + _b] = True
 _CODERS: dict[tuple, WordCoder] = {}
 
 
-class WordCoder(dict):
-    """Encodes whole texts with a tokenizers file, through a cache of words.
+class WordCoder:
+    """Encodes whole texts with a tokenizers file, each distinct unit once.
 
-    Both vocabularies split a text before merging, and never merge over the
-    start of a run of white space, so the ids of a text are those of its words
-    (each with the white space before it) in order; punctuation after plain
-    letters is split off in the same way.  Texts with unusual white space are
-    encoded as one.  The cache has two generations of bounded size.  Ids come
-    back as little-endian 16-bit bytes.
+    Both vocabularies split a text before merging: before a run of white space,
+    which stays with what follows it, and between plain letters and marks.  So
+    the ids of a text are those of such units in order.  The units are cut as
+    views of the texts' bytes, Arrow finds the distinct ones, the tokenizer
+    encodes those that a cache of two generations of bounded size does not
+    have, and Arrow puts the ids in the units' places.  Texts with unusual
+    white space are encoded as one.
     """
 
     def __init__(self, path: str, keep_space: bool, most: int = 600_000):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_space, self.most = keep_space, most
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            if m := _PLAIN.fullmatch(word):
-                got = self[m[1]] + self[m[2]]
-            else:
-                ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                got = ids.tobytes()
-        self[word] = got
-        return got
-
-    def words(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return [text]
-        if self.keep_space:
-            return _RUNS.findall(text)
-        # this vocabulary's normalizer folds case, so a word is learned once
-        return (text if _NOT_LATIN.search(text) else text.lower()).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.most // 2:
-            self.old = dict(self)
-            self.clear()
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _raw(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 16-bit ids; bytes that are no UTF-8 are replaced."""
+        out = []
+        for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False):
+            ids = array("H", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
+    def _of_units(self, units: list[bytes]) -> list[bytes]:
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        out = list(map(self.new.get, units))
+        missing = [k for k, got in enumerate(out) if got is None]
+        learn = []
+        for k in missing:
+            got = out[k] = self.old.get(units[k])
+            if got is None:
+                learn.append(k)
+        for k, got in zip(learn, self._raw([units[k] for k in learn])):
+            out[k] = got
+        self.new.update((units[k], out[k]) for k in missing)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a binary array without nulls."""
+        out: list[np.ndarray] = []
+        for at, end in textvec.cut(texts, 1 << 22):
+            out += self._encode(texts.slice(at, end - at))
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = textvec.bytes_of(texts)
+        n = len(data)
+        kinds = _CLASS[data]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[1:n] = _CUT[(kinds[:-1] << 3) | kinds[1:]]
+        edge[offsets] = True
+        starts = np.flatnonzero(edge)  # the last is n
+        if not self.keep_space:
+            # this vocabulary folds case; before a combining mark that may depend on more
+            plain = np.ones(n, dtype=bool)
+            plain[:-1] = data[1:] < 128
+            data = np.where(plain, textvec.FOLD[data], data)
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
         collecting = gc.isenabled()
-        gc.disable()  # millions of words live for a moment, none in a cycle
+        gc.disable()  # very many units live for a moment, none in a cycle
         try:
-            return [b"".join(map(self.__getitem__, self.words(text))) for text in texts]
+            ids = pa.array(self._of_units(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         finally:
             if collecting:
                 gc.enable()
+        flat, ends = textvec.bytes_of(ids)
+        flat = flat.view("<u2")
+        ends = (ends[np.searchsorted(starts, offsets)] // 2).tolist()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        whole = pc.indices_nonzero(pc.match_substring_regex(texts, _ODD_SPACE)).to_pylist()
+        for k, got in zip(whole, self._raw([texts[k].as_py() for k in whole])):
+            out[k] = np.frombuffer(got, dtype="<u2")
+        return out
 
 
 def coder(path: str, keep_space: bool) -> WordCoder:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, textvec
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A row is a piece of an emitted sequence, or an open window with its pieces.
@@ -137,7 +137,8 @@ def split(pieces: list[Piece], n: int) -> tuple[list[Piece], list[Piece]]:
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048, open_windows: int = 32, fan_in: int = 64) -> DataFrame:
     """Pack all documents (doc_id, text); one row per piece.
 
-    A null or empty text is the end id alone.  Rows that repeat, also with the
+    A null or empty text is the end id alone; texts of any length are packed
+    whole.  Rows that repeat, also with the
     same doc_id, are packed each.  An empty table gives no rows.  Other
     columns are ignored.  Every id lies in exactly one piece; sequences hold
     capacity ids but for the last few, which hold a power of two.  The ids
@@ -151,11 +152,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capaci
         packer = Packer(capacity, open_windows, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype="<u2")
         for batch in batches:
-            texts = [x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            for doc_id, got in zip(batch.column(0).to_pylist(), coder.encode(texts)):
-                ids = np.concatenate([np.frombuffer(got, dtype="<u2"), end])
-                packer.place([Piece(doc_id, 0, ids, len(ids))])
-            yield packer.take()
+            for at, until in textvec.cut(batch.column(1), 1 << 24):
+                for doc_id, got in zip(batch.column(0)[at:until].to_pylist(), coder.encode(batch.column(1).slice(at, until - at))):
+                    ids = np.concatenate([got, end])
+                    packer.place([Piece(doc_id, 0, ids, len(ids))])
+                yield packer.take()
         yield packer.take(leftovers=True)
 
     def merge_round(batches, number: int, last: bool) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capaci
         yield packer.take(leftovers=not last)
 
     source = docs.select("doc_id", common.text_bytes().alias("text"))
-    done = common.materialize(common.mapped(source, first_round, ROW), "packed")
+    done = common.materialize(common.mapped(source, first_round, ROW, rows_per_batch=4096), "packed")
     parts, number, tasks = [done], 1, max(1, source.rdd.getNumPartitions())
     while True:
         left = parts[-1].where(F.col("open").isNotNull()).select("open")

@@ -87,15 +87,18 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets of the rows in them) of a binary array."""
+    offsets = _offsets(texts)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=np.uint8), offsets - offsets[0]
+    return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def words_of(texts: pa.Array, fold: bool = True, space: np.ndarray = SPACE) -> Words:
     """The words of a binary array without nulls."""
-    offsets = _offsets(texts)
     n_docs = len(texts)
-    if offsets[-1] == offsets[0]:
-        data = np.zeros(0, dtype=np.uint8)
-    else:
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    data, offsets = bytes_of(texts)
     n = len(data)
     word = ~space[data]
     # a word starts where a space, or another document, is before
