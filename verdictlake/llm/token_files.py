@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import common, textvec
 
 INDEX = "part long, file string, n_docs long, n_ids long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,13 +104,17 @@ class TokenFile:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, length: int = 2048) -> DataFrame:
     """Write all documents (doc_id, text) to a folder; the table of its files.
 
-    Null and empty texts are the end id alone; rows with equal doc_id follow
-    each other in the order of their texts, null ids come first.  A task that
-    is run again writes a file of another name, and the table lists each part
-    once, so readers never see a torn or doubled file.
+    Null and empty texts are the end id alone; null ids come first, and rows
+    with equal doc_id follow each other in the order of their texts' MD5, by
+    which a frequent id is dealt to several files.  Texts of any length are
+    encoded whole.  Other columns are ignored; an empty table has no files.  A
+    task that is run again writes a file of another name, and the table lists
+    each part once, so readers never see a torn or doubled file.
     """
     path = common.vocabulary("byte_bpe_50k.json", vocabulary)
-    ordered = docs.select("doc_id", common.text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    body = common.text_bytes()
+    keyed = docs.select("doc_id", F.md5(body).alias("digest"), body.alias("text"))
+    ordered = keyed.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
 
     def write(batches) -> Iterator[pa.RecordBatch]:
         coder = common.coder(path, keep_space=True)
@@ -120,16 +124,18 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         out, n_docs, start = None, 0, 0
         end = np.array([end_id], dtype="<u2")
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if out is None:
                 fs.create_dir(base)
                 sinks = fs.open_output_stream(f"{base}/{name}.arrow"), fs.open_output_stream(f"{base}/{name}.docs.arrow")
                 out, places = SequenceWriter(sinks[0], length), pa.ipc.new_file(sinks[1], DOCS)
-            texts = [x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             sizes = []
-            for got in coder.encode(texts):
-                ids = np.concatenate([np.frombuffer(got, dtype="<u2"), end])
-                sizes.append(len(ids))
-                out.add(ids)
+            for at, until in textvec.cut(batch.column(1), 1 << 24):
+                for ids in coder.encode(batch.column(1).slice(at, until - at)):
+                    out.add(ids)
+                    out.add(end)
+                    sizes.append(len(ids) + 1)
             ends = start + np.cumsum(sizes, dtype=np.int64)
             starts = np.concatenate([[start], ends[:-1]])
             places.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=DOCS))
@@ -141,12 +147,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                 s.close()
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [name], "n_docs": [n_docs], "n_ids": [start]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return common.materialize(common.mapped(ordered, write, INDEX), "token-index")
+    return common.materialize(common.mapped(ordered, write, INDEX, rows_per_batch=4096), "token-index")
 
 
 def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens,
-    ids_crc32.  The table of files is collected; it has a row per partition."""
+    ids_crc32, null and repeated doc_ids included; no rows where there are no
+    files.  The table of files is collected; it has a row per partition."""
     files, base_of = [], 0
     for row in index.orderBy("part").collect():
         files.append((row["file"], base_of))
