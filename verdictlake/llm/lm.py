@@ -66,46 +66,46 @@ def _bits(hashes: np.ndarray, level: int, k: int, n_bits) -> np.ndarray:
         return ((h >> U(32)) * np.asarray(n_bits, dtype=np.uint64)) >> U(32)
 
 
-def build_block(hashes: np.ndarray, counts: np.ndarray, most_bits: float, settings: Settings) -> tuple[bytes, int]:
-    """(bytes, number of bits) of a block that holds n-grams with their counts."""
+def build_block(hashes: np.ndarray, counts: np.ndarray, settings: Settings) -> tuple[bytes, int, int]:
+    """(bytes, number of bits, highest level) of a block that holds n-grams
+    with their counts."""
     levels = level_of(counts, settings.base)
-    n_bits = int(min(2**32 - 1, max(64, min(most_bits, settings.bits_per_entry * float(levels.sum())))))
+    n_bits = max(64, int(settings.bits_per_entry * float(levels.sum())))
+    if n_bits >= 2**32:
+        raise ValueError("a block of more than 2^32 bits: block_rows is too large")
     filled = np.zeros(n_bits, dtype=bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
         part = hashes[levels >= j]
         for k in range(settings.probes):
             filled[_bits(part, j, k, n_bits)] = True
-    return np.packbits(filled, bitorder="little").tobytes(), n_bits
+    return np.packbits(filled, bitorder="little").tobytes(), n_bits, int(levels.max(initial=0))
 
 
 @dataclass
 class LogFrequencyBloom:
-    """Blocks of bits, one after the other, and the number of bits of each."""
+    """A block's bits, their number, and the highest level put into it."""
 
     bits: np.ndarray
-    start: np.ndarray
-    n_bits: np.ndarray
+    n_bits: int
+    top: int
     settings: Settings
 
     @classmethod
-    def of(cls, blocks: dict[int, tuple[bytes, int]], n: int, settings: Settings) -> LogFrequencyBloom:
-        parts = [np.frombuffer(blocks[b][0], dtype=np.uint8) if b in blocks else np.zeros(8, dtype=np.uint8) for b in range(n)]
-        sizes = np.array([len(x) for x in parts], dtype=np.uint64)
-        return cls(np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64) * U(8), np.array([blocks[b][1] if b in blocks else 1 for b in range(n)], dtype=np.uint64), settings)
+    def of(cls, block: tuple[bytes, int, int], settings: Settings) -> LogFrequencyBloom:
+        return cls(np.frombuffer(block[0], dtype=np.uint8), block[1], block[2], settings)
 
     def levels(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
-        """Levels are probed until one is missing."""
+        """Levels are probed until one is missing, or the highest is there."""
         out = np.zeros(len(hashes), dtype=np.int64)
-        block = block_of(hashes, len(self.n_bits))
-        left, level = np.arange(len(hashes)), 0
-        h, start, n_bits = hashes ^ salt, self.start[block], self.n_bits[block]
-        while len(left):
-            out[left] = level
-            level += 1
+        left, h = np.arange(len(hashes)), hashes ^ salt
+        for level in range(1, self.top + 1):
             for k in range(self.settings.probes):
-                at = start + _bits(h, level, k, n_bits)
+                at = _bits(h, level, k, self.n_bits)
                 there = (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
-                left, h, start, n_bits = left[there], h[there], start[there], n_bits[there]
+                left, h = left[there], h[there]
+            if not len(left):
+                break
+            out[left] = level
         return out
 
     def counts(self, hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -168,18 +168,19 @@ _PACKED = "chunk long, kind int, block int, hashes binary, counts binary"
 WORD, PAIR, FOLLOW, ASK, SEEN = 0, 1, 2, 3, 10
 
 
-def deal(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of hashes by block, end of each block's)."""
+def deal(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(order of hashes by block, blocks that get some, where each one's begin
+    and the last end): as many as there are hashes, at most."""
     where = block_of(h, n_blocks)
     order = np.argsort(where, kind="stable")
-    return order, np.searchsorted(where[order], np.arange(n_blocks + 1))
+    used, begin = np.unique(where[order], return_index=True)
+    return order, used.tolist(), [*begin.tolist(), len(h)]
 
 
 def pack(kind: int, h: np.ndarray, c: np.ndarray, n_blocks: int, chunk: int = -1) -> pa.RecordBatch:
-    """Counts by hash, dealt to blocks: one row for each block."""
-    order, ends = deal(h, n_blocks)
-    used = [b for b in range(n_blocks) if ends[b + 1] > ends[b]]
-    cut = [order[ends[b] : ends[b + 1]] for b in used]
+    """Counts by hash, dealt to blocks: one row for each block that gets any."""
+    order, used, ends = deal(h, n_blocks)
+    cut = [order[a:b] for a, b in zip(ends, ends[1:])]
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(used), pa.int64()), pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([h[i].tobytes() for i in cut], pa.binary()), pa.array([c[i].astype("<u4").tobytes() for i in cut], pa.binary())], schema=_PACKED_ARROW)
 
 
@@ -196,6 +197,8 @@ def answers(table: pa.Table, kind: int, seen: int, values: np.ndarray, levels: n
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([SEEN + seen] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_PACKED_ARROW)
 
 
+#: Bits of a chunk's number within its partition.
+_PART = 20
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, places binary"
 _CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
 
@@ -207,7 +210,7 @@ def chunks_of(source: DataFrame, chunk_tokens: int = 2_000_000) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n, number = 0, TaskContext.get().partitionId() << 20
+        n, number = 0, TaskContext.get().partitionId() << _PART
 
         def flush() -> pa.RecordBatch:
             words, places = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
@@ -325,12 +328,16 @@ def blocks_for(source: DataFrame, settings: Settings) -> int:
     return max(1, -(-(size // 6) // settings.block_rows))
 
 
+#: Beyond so many blocks or chunks a task has several, one after the other.
+MOST_TASKS = 20_000
+
+
 def train(chunks: DataFrame, n_blocks: int, settings: Settings = Settings()) -> tuple[Model, DataFrame, DataFrame]:
     """(model, exact counts of all words, levels of each chunk's n-grams)."""
 
     def block(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> LogFrequencyBloom:
         hashes = np.concatenate([h[c > 0] ^ _SALT[kind] for kind, h, c in entries])
-        return LogFrequencyBloom.of({0: build_block(hashes, np.concatenate([c[c > 0] for _, _, c in entries]), math.inf, settings)}, 1, settings)
+        return LogFrequencyBloom.of(build_block(hashes, np.concatenate([c[c > 0] for _, _, c in entries]), settings), settings)
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
         """For each block its words, its answers, and followers dealt anew."""
@@ -352,7 +359,8 @@ def train(chunks: DataFrame, n_blocks: int, settings: Settings = Settings()) ->
             asked = unpack(group, ASK)[0]
             yield answers(group, ASK, FOLLOW, asked, block([(FOLLOW, values, n)]).levels(asked, _SALT[FOLLOW]))
 
-    by_block = lambda df: df.repartition(n_blocks, "block").sortWithinPartitions("block")
+    # block b goes to task b: by a hash some tasks would have several
+    by_block = lambda df: df.repartitionById(min(n_blocks, MOST_TASKS), F.col("block")).sortWithinPartitions("block")
     counted = common.materialize(by_block(count_ngrams(chunks, n_blocks)).mapInArrow(gather, _COUNTED), "lm-counts")
     own = counted.where(F.col("kind") == WORD)
     facts = own.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_once")).first()
@@ -391,7 +399,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     train_tokens, base_score and score.
 
     Learns from the rows whose crc32(doc_id) mod 10 is not 0; a null doc_id is
-    learned from.  A null or empty text is its end alone.  Repeated rows count
+    learned from.  A null or empty text is its end alone; texts of any length
+    are scored whole.  Repeated rows count
     and are scored each.  An empty table gives no rows; other columns are
     ignored.  The base score is exact: the commonest words' counts are
     broadcast, and the rarer words of each row are joined with theirs.
@@ -434,7 +443,11 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), pa.array(group["doc_ids"][at].as_py(), pa.int64()), pa.array(chunk.held), pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     together = levels.unionByName(chunks.withColumns({"kind": F.lit(-1), "block": F.lit(-1)}), allowMissingColumns=True)
-    dealt = together.repartition(n_blocks, "chunk").sortWithinPartitions("chunk")
+    # chunks are numbered within partitions: number them through, for a task each
+    last = chunks.agg(F.max(F.expr(f"chunk >> {_PART}")).alias("part"), F.max(F.expr(f"chunk & {(1 << _PART) - 1}")).alias("number")).first()
+    width = (last["number"] or 0) + 1
+    task = F.expr(f"cast((chunk >> {_PART}) * {width} + (chunk & {(1 << _PART) - 1}) as int)")
+    dealt = together.repartitionById(min(((last["part"] or 0) + 1) * width, MOST_TASKS), task).sortWithinPartitions("chunk")
     scored = dealt.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
     final = [F.lit(n).cast("long").alias("train_tokens")]
     if all_known:
