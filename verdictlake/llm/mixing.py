@@ -14,14 +14,18 @@ so they add up to the token.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
 #: Words, as runs outside ASCII white space: the tokens that budgets count.
 WORD_COUNT = r"size(filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> ''))"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Leaves up to this count are broadcast to the documents; more are joined by shuffle.
 BROADCAST_LEAVES = 100_000
 
@@ -54,9 +58,12 @@ class Mix:
         return out.cast("long")
 
 
-def marked(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with the tree's levels and mix_tokens in front of its columns."""
-    return docs.select(*[F.expr(e).alias(f"mix_{n}") for n, e in mix.levels], F.expr(mix.tokens).cast("long").alias("mix_tokens"), *[F.col(f"`{c}`") for c in docs.columns])
+def leaf_of(mix: Mix) -> list[Column]:
+    return [F.expr(e).alias(n) for n, e in mix.levels]
+
+
+def digest() -> Column:
+    return F.md5(common.text_bytes())
 
 
 def deal(nodes: DataFrame, mix: Mix, budget_share: tuple[int, int]) -> DataFrame:
@@ -87,79 +94,128 @@ def deal(nodes: DataFrame, mix: Mix, budget_share: tuple[int, int]) -> DataFrame
     return level_budget.select(*names, "tokens", "budget", F.expr("budget div tokens").alias("whole_epochs"), F.expr("budget % tokens").alias("rest"))
 
 
-def order_key(mix: Mix, epoch: Column) -> Column:
-    """A document's place in an epoch: a hash of seed, epoch and doc_id."""
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+def order_key(mix: Mix, epoch: Column, doc_id: Column, text_digest: Column) -> Column:
+    """A document's place in an epoch: a hash of seed, epoch, doc_id and text.
+    Rows that agree in all of these follow each other."""
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")), text_digest).cast("binary"))
+
+
+def sizes_of(docs: DataFrame, mix: Mix) -> DataFrame:
+    """leaf, tokens, doc_id and digest of the rows with tokens."""
+    return common.materialize(docs.select(*leaf_of(mix), F.expr(mix.tokens).cast("long").alias("tokens"), "doc_id", digest().alias("digest")).where("tokens > 0"), "mix-sizes")
+
 
+def hint(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
-def plan(docs: DataFrame, mix: Mix) -> DataFrame:
+
+def plan(sizes: DataFrame, mix: Mix) -> DataFrame:
     """The leaves with budget, whole_epochs, rest and where the rest ends:
-    cut_key, cut_id and the tokens before it, cut_before.
+    cut_key, and the tokens before it, cut_before.
 
-    The running sum over a leaf is taken in two steps, so that no task sees a
-    whole leaf: over sums of key ranges, and in the one range where the budget
-    ends.
+    The running sum over a leaf is taken in three steps, so that no task sees a
+    whole leaf: over sums of key ranges, within the one range where the budget
+    ends over finer ones, and there over the keys.
     """
     names = mix.names
-    sizes = common.materialize(marked(docs, mix).select(*[F.col(f"mix_{n}").alias(n) for n in names], F.col("mix_tokens").alias("tokens"), "doc_id").where("tokens > 0"), "mix-sizes")
     totals = common.materialize(sizes.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-totals")
     leaves = common.materialize(deal(totals, mix, mix.share), "mix-leaves")
     small = leaves.count() <= BROADCAST_LEAVES
     partial = leaves.where("rest > 0").select(*names, "whole_epochs", "rest")
-    keyed = sizes.join(F.broadcast(partial) if small else partial, names).withColumn("key", order_key(mix, F.col("whole_epochs")))
+    keyed = sizes.join(hint(partial, small), names).withColumn("key", order_key(mix, F.col("whole_epochs"), F.col("doc_id"), F.col("digest")))
     # 4,096 ranges of a leaf, then 256 times finer within the one that the budget ends in
     ends = partial.withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(""))
-    for digits in (3, 5):
-        inside = keyed.join(F.broadcast(ends.select(*names, "prefix", "before")) if small else ends.select(*names, "prefix", "before"), names).where("startswith(key, prefix)")
+    upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for digits in (3, 5, 32):
+        inside = keyed.join(hint(ends.select(*names, "prefix", "before"), small), names).where("startswith(key, prefix)")
         ranges = inside.groupBy(*names, "rest", "before", F.substring("key", 1, digits).alias("range")).agg(F.sum("tokens").alias("t"))
-        upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ends = ranges.withColumn("upto", F.col("before") + F.sum("t").over(upto)).where("upto - t < rest and upto >= rest").select(*names, F.col("range").alias("prefix"), (F.col("upto") - F.col("t")).alias("before"))
         ends = common.materialize(ends, "mix-ends")
-    inside = keyed.join(F.broadcast(ends) if small else ends, names).where("startswith(key, prefix)")
-    units = inside.groupBy(*names, "rest", "before", "key", "doc_id").agg(F.sum("tokens").alias("t"))
-    upto = Window.partitionBy(*names).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = units.withColumn("cut_before", F.col("before") + F.sum("t").over(upto) - F.col("t")).where("cut_before < rest").groupBy(*names).agg(F.max(F.struct("key", "doc_id", "cut_before")).alias("cut"))
-    found = cut.select(*names, F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"), F.col("cut.cut_before").alias("cut_before"))
+    found = ends.select(*names, F.col("prefix").alias("cut_key"), F.col("before").alias("cut_before"))
     return common.materialize(leaves.join(found, names, "left"), "mix-plan")
 
 
-def select(docs: DataFrame, mix: Mix, leaves: DataFrame) -> DataFrame:
-    """The columns of docs with mix_<level>, mix_tokens, epoch and take_tokens,
-    a row for each epoch in which a row is taken."""
-    names = mix.names
-    plan_rows = leaves.select(*[F.col(n).alias(f"mix_{n}") for n in names], "whole_epochs", "rest", "cut_key", "cut_id", "cut_before")
-    if leaves.count() <= BROADCAST_LEAVES:
-        plan_rows = F.broadcast(plan_rows)
-    joined = marked(docs, mix).where("mix_tokens > 0").join(plan_rows, [f"mix_{n}" for n in names])
-    each = joined.withColumn("mix_key", order_key(mix, F.col("whole_epochs"))).withColumn("epoch", F.explode(F.expr("sequence(0L, whole_epochs)")))
-    take = F.expr(
-        "case when epoch < whole_epochs then mix_tokens when rest = 0 or cut_key is null then 0"
-        " when mix_key < cut_key or (mix_key = cut_key and (doc_id < cut_id)) then mix_tokens"
-        " when mix_key = cut_key and doc_id <=> cut_id then least(mix_tokens, rest - cut_before) else 0 end"
-    )
-    return each.withColumn("take_tokens", take).where("take_tokens > 0")
+def taken(rows: DataFrame, mix: Mix, leaves: DataFrame, doc_id: Column, text_digest: Column, leaf: list[Column], tokens: Column) -> tuple[DataFrame, str]:
+    """(rows by epoch, name of a struct column of epoch, tokens, take): the
+    columns of rows stay as they are, whatever their names.
+
+    Rows that share the place where a leaf's budget ends are numbered, so that
+    the budget is met to the token: within 1,024 parts by a hash, with the
+    parts' offsets, so that copies of one document are not one task.
+    """
+    small = leaves.count() <= BROADCAST_LEAVES
+    own, to = (common.free_name(rows, x) for x in ("mix", "plan"))
+    planned = leaves.select(F.struct(*leaves.columns).alias(to))
+    marked = rows.withColumn(own, F.struct(*[c.alias(n) for c, n in zip(leaf, mix.names)], doc_id.alias("doc_id"), text_digest.alias("digest"), tokens.alias("tokens")))
+    same = [F.col(f"{own}.{n}") == F.col(f"{to}.{n}") for n in mix.names]
+    joined = marked.join(hint(planned, small), same).where(F.col(f"{own}.tokens") > 0)
+    key = order_key(mix, F.col(f"{to}.whole_epochs"), F.col(f"{own}.doc_id"), F.col(f"{own}.digest"))
+    part = F.when(F.col(f"{to}.rest") == 0, 1).when(key < F.col(f"{to}.cut_key"), -1).when(key == F.col(f"{to}.cut_key"), 0).otherwise(1)
+    joined = joined.withColumn(own, F.struct(f"{own}.*", part.alias("part")))
+    what = lambda epoch, take: F.struct(*[F.col(f"{own}.{n}").alias(n) for n in mix.names], epoch.alias("epoch"), F.col(f"{own}.tokens").alias("tokens"), take.alias("take"))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    epochs = F.expr(f"sequence(0L, {to}.whole_epochs - if({own}.part < 0, 0, 1))")
+    whole = joined.where(F.expr(f"{to}.whole_epochs > 0 or {own}.part < 0")).select(*columns, own, F.explode(epochs).alias(to))
+    whole = whole.select(*columns, what(F.col(to), F.col(f"{own}.tokens")).alias(own))
+    number = common.free_name(rows, "number")
+    there = joined.where(F.col(f"{own}.part") == 0).select(*columns, own, to, F.struct(F.monotonically_increasing_id().alias("id")).alias(number))
+    there = common.materialize(there.withColumn(number, F.expr(f"struct({number}.id as id, pmod(xxhash64({number}.id), 1024) as part)")), "mix-cut")
+    leaf_names = [f"{own}.{n}" for n in mix.names]
+    counts = there.groupBy(*[F.col(c) for c in leaf_names], F.col(f"{number}.part").alias("part")).agg(F.count("*").alias("n"))
+    offsets = counts.withColumn("n", F.sum("n").over(Window.partitionBy(*mix.names).orderBy("part")) - F.col("n"))
+    offsets = offsets.select(F.struct("*").alias(to + "_offset"))
+    placed = there.withColumn(number, F.struct(f"{number}.*", F.row_number().over(Window.partitionBy(*leaf_names, f"{number}.part").orderBy(f"{number}.id")).alias("at")))
+    placed = placed.join(offsets, [*[F.col(f"{own}.{n}") == F.col(f"{to}_offset.{n}") for n in mix.names], F.col(f"{number}.part") == F.col(f"{to}_offset.part")])
+    left = F.expr(f"{to}.rest - {to}.cut_before - ({to}_offset.n + {number}.at - 1) * {own}.tokens")
+    cut = placed.where(left > 0).select(*columns, what(F.col(f"{to}.whole_epochs"), F.least(F.col(f"{own}.tokens"), left)).alias(own))
+    return whole.unionAll(cut), own
 
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """One row per document and epoch taken: doc_id, the levels, epoch, tokens
     and take_tokens, how many of its first tokens the budget takes.
 
-    Texts without tokens, null or empty, are never taken.  Null languages and
-    sources are leaves of their own.  Rows with equal doc_id in one leaf have
-    one place in the order; where the budget ends at them, each is cut alike.
-    A weight of 0 leaves a subtree out.  An empty table gives no rows; other
-    columns are ignored.
+    Budgets are met to the token.  Texts without tokens, null or empty, are
+    never taken; very long ones count whole.  Null languages and sources are
+    leaves of their own; a null doc_id is an id like others.  Repeated rows are
+    taken each; where the budget ends at them, so many are taken as it covers,
+    and one of them in part.  A weight of 0 leaves a subtree out.  An empty
+    table gives no rows; other columns, of whatever name, are ignored.
     """
     mix = mix or Mix()
-    source = docs.select("doc_id", "text", "lang", "source")
     names = mix.names
-    return select(source, mix, plan(source, mix)).select("doc_id", *[F.col(f"mix_{n}").alias(n) for n in names], "epoch", F.col("mix_tokens").alias("tokens"), "take_tokens")
+    sizes = sizes_of(docs, mix)
+    rows, own = taken(sizes.select("doc_id", "digest", *names, "tokens"), mix, plan(sizes, mix), F.col("doc_id"), F.col("digest"), [F.col(n) for n in names], F.col("tokens"))
+    return rows.select("doc_id", *[F.col(f"{own}.{n}").alias(n) for n in names], F.col(f"{own}.epoch").alias("epoch"), F.col(f"{own}.tokens").alias("tokens"), F.col(f"{own}.take").alias("take_tokens"))
+
+
+@F.pandas_udf(StringType())
+def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+    """Texts up to the end of their n-th word."""
+
+    def cut(t: str, most: int) -> str:
+        for k, m in enumerate(_WORD.finditer(t), 1):
+            if k == most:
+                return t[: m.end()]
+        return t
+
+    return pd.Series([cut(t, k) for t, k in zip(text, n)], dtype=object)
 
 
 def keep_mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of docs that the mix takes, whole or in part, with their
-    columns; each is taken once, so mix.max_epochs should be 1."""
-    return select(docs, mix, plan(docs, mix)).where("epoch = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the mix takes, with their columns; the row at
+    which a leaf's budget ends has its text cut to the tokens taken.
+
+    Each row is taken once, so mix.max_epochs should be 1, and mix.tokens must
+    count words.  Nulls, empty texts, repeated rows and empty tables are as in
+    mix_documents; columns keep their values, whatever their names.
+    """
+    leaves = plan(sizes_of(docs, mix), mix)
+    rows, own = taken(docs, mix, leaves, F.col("doc_id"), digest(), leaf_of(mix), F.expr(mix.tokens).cast("long"))
+    first = rows.where(F.col(f"{own}.epoch") == 0)
+    whole = first.where(F.col(f"{own}.take") == F.col(f"{own}.tokens")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    part = first.where(F.col(f"{own}.take") < F.col(f"{own}.tokens"))
+    return whole.unionAll(part.select(*[first_words(F.col("text"), F.col(f"{own}.take")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def oracle(mix: Mix | None = None) -> str:
@@ -167,7 +223,7 @@ def oracle(mix: Mix | None = None) -> str:
     mix = mix or Mix()
     names = mix.names
     num, den = mix.share
-    parts = ["docs AS (SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in mix.levels) + r", len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents)"]
+    parts = ["docs AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, " + ", ".join(f"{e} AS {n}" for n, e in mix.levels) + r", len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents)"]
     parts.append(f"leaves AS (SELECT {', '.join(names)}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {mix.max_epochs} AS supply FROM docs WHERE tokens > 0 GROUP BY ALL)")
     parts.append(f"n0 AS (SELECT *, ((SELECT sum(tokens) FROM leaves)::HUGEINT * {num} // {den})::BIGINT AS budget FROM leaves)")
     for d, name in enumerate(names):
@@ -183,8 +239,8 @@ def oracle(mix: Mix | None = None) -> str:
         parts.append(f"n{d + 1} AS (SELECT n{d}.* EXCLUDE (budget), g{d}.got AS budget FROM n{d} JOIN g{d} ON {on})")
     last = f"n{len(names)}"
     on = " AND ".join(f"d.{n} = l.{n}" for n in names)
-    parts.append(f"p AS (SELECT d.*, budget // l.tokens AS q, budget % l.tokens AS rest, md5(concat('{mix.seed}:', budget // l.tokens, ':', coalesce(doc_id::VARCHAR, 'null'))) AS k FROM docs d JOIN {last} l ON {on} WHERE d.tokens > 0)")
-    parts.append(f"o AS (SELECT *, sum(tokens) OVER (PARTITION BY {', '.join(names)} ORDER BY k, doc_id RANGE UNBOUNDED PRECEDING) - sum(tokens) OVER (PARTITION BY {', '.join(names)}, k, doc_id) AS before FROM p)")
+    parts.append(f"p AS (SELECT d.*, budget // l.tokens AS q, budget % l.tokens AS rest, md5(concat('{mix.seed}:', budget // l.tokens, ':', coalesce(doc_id::VARCHAR, 'null'), ':', digest)) AS k, row_number() OVER () AS row FROM docs d JOIN {last} l ON {on} WHERE d.tokens > 0)")
+    parts.append(f"o AS (SELECT *, sum(tokens) OVER (PARTITION BY {', '.join(names)} ORDER BY k, row ROWS UNBOUNDED PRECEDING) - tokens AS before FROM p)")
     cols = "doc_id, " + ", ".join(names)
     return "WITH " + ",\n".join(parts) + (
         f"\nSELECT {cols}, unnest(range(q))::BIGINT AS epoch, tokens::BIGINT AS tokens, tokens::BIGINT AS take_tokens FROM o"
