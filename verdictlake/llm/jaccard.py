@@ -324,7 +324,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     n_copies (rows with that set), n_links (other rows at or above the
     threshold) and n_text_links (other sets at or above it).
 
-    Texts without words, null or empty, are copies of each other.  Rows that
+    Texts without words, null or empty, are copies of each other; texts of any
+    length are compared whole.  N-grams are compared by 64-bit hashes.  Rows that
     repeat are copies.  A null doc_id takes part; an id that stands for a class
     is null only if all ids of the class are.  An empty table gives no rows;
     other columns are ignored.
@@ -335,14 +336,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of each class, the least by doc_id (nulls last) and text digest,
-    with all columns of docs."""
+    with all columns of docs, whatever their names.
+
+    Texts without words, null or empty, are one class; texts of any length are
+    compared whole.  Of rows that repeat one is kept.  An empty table gives no
+    rows.
+    """
     rows, sets = join(docs, settings)
     least = rows.join(sets.select("key", "class_key"), "key").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
-    keep = least.select(F.col("k.doc_id").alias("keep_id"), F.col("k.digest").alias("keep_digest"))
+    own, other = common.free_name(docs, "own"), common.free_name(docs, "keep")
+    keep = least.select(F.struct("k.doc_id", "k.digest").alias(other))
     repeated = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    digest = F.md5(common.text_bytes())
-    out = docs.join(keep, (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (digest == F.col("keep_digest")), "left_semi")
+    marked = docs.withColumn(own, F.struct("doc_id", F.md5(common.text_bytes()).alias("digest")))
+    out = marked.join(keep, F.col(f"{own}.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col(f"{own}.digest") == F.col(f"{other}.digest")), "left_semi")
     if repeated:
-        mark = out.withColumn("__digest", digest)
-        out = mark.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return out
+        out = out.dropDuplicates([own])
+    return out.drop(own)

@@ -227,7 +227,8 @@ def verdicts(measured: DataFrame, forest: IsolationForest, threshold: float) ->
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with its statistics and verdict.
 
-    A null or empty text has no words and fails.  Repeated rows give repeated
+    A null or empty text has no words and fails; texts of any length are
+    measured whole.  Repeated rows give repeated
     rows; rows with a null doc_id are judged but never labelled.  Empty tables
     give no rows.  Other columns, of whatever name, are ignored.
     """
@@ -236,7 +237,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns.
+    """The rows of docs that are kept, with all their columns, whatever their
+    names.  Null, empty and very short texts go; repeated rows are judged each;
+    texts of any length are measured whole.  An empty table gives no rows.
 
     A row's verdict depends on its text alone, so the second pass judges and
     filters where the row is, without a shuffle of texts.

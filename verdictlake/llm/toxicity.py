@@ -204,7 +204,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **knobs) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, the number
     of sentences and the offending ones as spans of characters.
 
-    A null or empty text has no sentence and scores 0.  Repeated rows give
+    A null or empty text has no sentence and scores 0; texts of any length are
+    scored whole.  Repeated rows give
     repeated rows.  A null doc_id is held out of nothing and never learned
     from.  Without toxic labels every score is near 0.  Other columns, of
     whatever name, are ignored.
@@ -223,7 +224,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **knobs) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **knobs) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns,
+    whatever their names.  A null or empty text is clean; repeated rows are
+    judged each; texts of any length are judged whole.  An empty table gives no
+    rows, and without toxic labels all rows stay."""
     model = fit(docs, labels, **knobs)
     where = docs.schema.fieldNames().index("text")
 
