@@ -232,9 +232,66 @@ def _http(row: dict, body: bytes, length: int) -> None:
     row["payload"] = rest
 
 
+class Member:
+    """The plain bytes of a gzip member, inflated as far as they are asked for."""
+
+    def __init__(self, f, position: int):
+        self.f, self.position = f, position
+        f.seek(position)
+        first = f.read(1 << 13)
+        self.empty = not first
+        self.inflate = zlib.decompressobj(31)
+        self.held = bytearray(self.inflate.decompress(first))
+        self.end = self.n_plain = None  # where the member tells its lengths
+        if len(first) >= 24 and first[3] & 4 and first[12:14] == b"sl":
+            total, self.n_plain = struct.unpack("<II", first[16:24])
+            self.end = position + total
+
+    def fill(self, n: int) -> bool:
+        """Hold n bytes, if there are so many."""
+        while len(self.held) < n and not self.inflate.eof:
+            more = self.f.read(1 << 16)
+            if not more:
+                raise ValueError(f"a record is cut off at {self.position}")
+            self.held += self.inflate.decompress(more)
+        return len(self.held) >= n
+
+    def until_blank(self, most: int | None = None) -> int:
+        """Where the first blank line within the first bytes is, or -1."""
+        seen = 0
+        while (at := self.held.find(b"\r\n\r\n", max(0, seen - 3), most)) < 0:
+            seen = len(self.held)
+            if (most is not None and seen >= most) or not self.fill(seen + 1):
+                return -1
+        return at
+
+    def take(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise ValueError(f"a record is cut off at {self.position}")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            step = min(n, 1 << 18)
+            self.take(step)
+            n -= step
+
+    def after(self) -> int:
+        """The position after the member."""
+        if self.end is not None:
+            return self.end
+        while not self.inflate.eof:
+            self.held.clear()
+            self.fill(1)
+        return self.f.tell() - len(self.inflate.unused_data)
+
+
 def records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
-    """The wanted records of a file.  Of others only the headers are inflated,
-    where the member tells its length."""
+    """The wanted records of a file, with the position of the record or of its
+    gzip member, which may hold several.  Of others only the headers are
+    inflated, where the member tells its length."""
     position = 0
     if not gz:
         while head := _until_blank(f):
@@ -252,43 +309,31 @@ def records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
             f.seek(start + n + 4)
             position = start + n + 4
         return
-    while True:
-        f.seek(position)
-        first = f.read(1 << 13)
-        if not first:
-            return
-        inflate = zlib.decompressobj(31)
-        plain = inflate.decompress(first)
-        known = None
-        if len(first) >= 24 and first[3] & 4 and first[12:14] == b"sl":
-            known = position + struct.unpack("<I", first[16:20])[0]
-        while True:  # both header blocks, WARC's and HTTP's
-            at = plain.find(b"\r\n\r\n")
-            if at >= 0 and plain.find(b"\r\n\r\n", at + 4) >= 0 or inflate.eof:
+    while not (member := Member(f, position)).empty:
+        while member.fill(5):  # more than the end of the record before
+            at = member.until_blank()
+            if at < 0:
+                raise ValueError(f"no record at {position}")
+            row, n = _row(member.take(at + 4)[:-4], position)
+            member.fill(min(n, 5))
+            if member.held.startswith(b"HTTP/"):
+                member.until_blank(n)
+            _http(row, bytes(member.held[:n]), n)
+            want = wanted(row)
+            only = member.end is not None and member.n_plain == (at + 4 + n + 4) & 0xFFFFFFFF
+            if only and not (want and payload):
+                if want:
+                    yield row
                 break
-            more = f.read(1 << 16)
-            if not more:
-                raise ValueError(f"a record is cut off at {position}")
-            plain += inflate.decompress(more)
-        row, n = _row(plain[:at], position)
-        _http(row, plain[at + 4 : at + 4 + n], n)
-        want = wanted(row)
-        if known is None or (want and payload):
-            parts = [plain]
-            while not inflate.eof:
-                more = f.read(1 << 18)
-                if not more:
-                    raise ValueError(f"a record is cut off at {position}")
-                parts.append(inflate.decompress(more))
-            end = f.tell() - len(inflate.unused_data)
             if want and payload:
-                plain = b"".join(parts)
-                _http(row, plain[at + 4 : at + 4 + n], n)
-        else:
-            end = known
-        if want:
-            yield row
-        position = end
+                _http(row, member.take(n), n)
+            else:
+                member.skip(n)
+            if member.fill(4):
+                member.take(4)
+            if want:
+                yield row
+        position = member.after()
 
 
 def _until_blank(f) -> bytes:
@@ -319,11 +364,26 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark, path: str, **options) -> DataFrame:
+    """The records of the archives in a folder, with READ_SCHEMA's columns;
+    options are those of WarcReader.
+
+    Headers that a record lacks are null; an empty payload is empty, of any
+    length whole.  Repeated records are rows each, and a folder without
+    archives gives none.  Spark pushes filters to Python sources only where
+    spark.sql.python.filterPushdown.enabled is true, which is switched on for
+    the session unless its owner has set it.
+    """
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if not _is_set(spark, "spark.sql.python.filterPushdown.enabled"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").options(path=path, **options).load()
 
 
+def _is_set(spark, key: str) -> bool:
+    """Whether the session or its start has given a value, beside the default."""
+    return bool(spark._jsparkSession.sessionState().conf().contains(key))
+
+
 #: Groups of equal payloads up to this count are broadcast to the pages.
 BROADCAST_GROUPS = 200_000
 
@@ -343,19 +403,34 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("sha1"), F.length(body).cast("long").alias("n"))
     groups = rows.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("members")).where("members > 1").select("sha1", "kept")
     groups = common.materialize(groups, "payload-groups")
-    if groups.count() <= BROADCAST_GROUPS:
+    small = groups.count() <= BROADCAST_GROUPS
+    if small:
         groups = F.broadcast(groups)
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     revisit = F.expr("kept is not null and not (page_id <=> kept)")
-    out = rows.join(groups, "sha1", "left").select(
+    joined = rows.join(groups, "sha1", "left") if small else _join_hot(rows, groups)
+    out = joined.select(
         name("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("type"), "url", F.lit(date).alias("date"), F.when(revisit, name("kept")).alias("refers_to"), F.unhex("sha1").alias("digest"), "n", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
     )
     out.write.format("warc").mode("append").options(path=path).save()
 
 
+def _join_hot(rows: DataFrame, groups: DataFrame, salts: int = 64) -> DataFrame:
+    """A page's payload may be a third of all: rows are dealt to so many tasks
+    for each payload, and each group's short row goes to all of them."""
+    salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(page_id, url), {salts}) as int)"))
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["sha1", "salt"], "left").drop("salt")
+
+
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Write pages to an archive and read it back, payloads checked: page_id,
-    payload_bytes, payload_digest, record_type, refers_to."""
+    payload_bytes, payload_digest, record_type, refers_to.
+
+    Null ids, urls and payloads, and repeated rows, are as in write_pages;
+    payloads of any length are written whole.  An empty table gives no rows;
+    other columns are ignored.
+    """
     write_pages(pages, path, least_bytes)
     number = lambda c: F.expr(f"try_cast(substr({c}, 10) as bigint)")
     return read_warc(pages.sparkSession, path, payload="false", verify="true").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
