@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import time
 import uuid
 
@@ -25,12 +26,23 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, small_bytes: int = 1 << 20, keep_versions: int = 1, claim_seconds: float = 600):
+    """A store in a folder.  Rows are kept as they are: nulls, empty and long
+    texts, repeated rows and all columns, whatever their names; an arrival
+    without rows is a version without a new run.
+
+    keep_versions and keep_seconds: how many versions stay, and how long files
+    that no kept version names stay for readers that have begun.  A claim on a
+    version is void after claim_seconds; a commit that meets another writer's
+    is tried again, `tries` times.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, small_bytes: int = 1 << 20, keep_versions: int = 2, keep_seconds: float = 3600, claim_seconds: float = 600, tries: int = 8):
         self.spark, self.path = spark, path.rstrip("/")
         self.target, self.fan_in, self.small = target_bytes, fan_in, small_bytes
-        self.keep, self.claim_seconds = keep_versions, claim_seconds
+        self.keep, self.keep_seconds, self.claim_seconds, self.tries = max(1, keep_versions), keep_seconds, claim_seconds, tries
         self.fs, _ = hadoop_fs(spark, self.path)
         self.fs.mkdirs(self._p("_manifest"))
+        self._writing: set[str] = set()  # this writer's folders, never orphans
 
     def _p(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -53,21 +65,39 @@ class ShardStore:
 
     def commit(self, base: dict, runs: list[dict], schema: str) -> dict:
         """Publish base.version + 1.  The version is claimed by a file that only
-        one writer can create; the manifest is written aside and renamed.  A
-        claim without a manifest that is older than claim_seconds is void."""
-        version = base["version"] + 1
-        final, claim = self._p(f"_manifest/{version:020d}.json"), self._p(f"_manifest/{version:020d}.claim")
-        if self.fs.exists(claim) and not self.fs.exists(final) and time.time() - self.fs.getFileStatus(claim).getModificationTime() / 1000 > self.claim_seconds:
-            self.fs.delete(claim, False)
-        if self.fs.exists(final) or not self._create(claim, ""):
+        one writer can create; the manifest is written aside and renamed.
+
+        A claim that is older than claim_seconds and has no manifest is void:
+        the next writer claims the version under the next number, so a claim
+        that others rely on is never deleted, and its holder gives up if it
+        took too long or a later claim is there.
+        """
+        version, started = base["version"] + 1, time.monotonic()
+        final = self._p(f"_manifest/{version:020d}.json")
+        number = self._claims(version)
+        if number and time.time() - self.fs.getFileStatus(self._claim(version, number)).getModificationTime() / 1000 <= self.claim_seconds:
+            raise CommitConflict(f"version {version} is claimed")
+        if self.fs.exists(final) or not self._create(self._claim(version, number + 1), ""):
             raise CommitConflict(f"version {version} is taken")
-        new = {"version": version, "schema": schema, "runs": runs}
         aside = self._p(f"_manifest/.{uuid.uuid4().hex}")
+        new = {"version": version, "schema": schema, "runs": runs}
         self._create(aside, json.dumps(new))
-        if not self.fs.rename(aside, final):
+        late = time.monotonic() - started > self.claim_seconds / 2 or self._claims(version) > number + 1
+        if late or self.fs.exists(final) or not self.fs.rename(aside, final):
+            self.fs.delete(aside, False)
             raise CommitConflict(f"version {version} could not be published")
         return new
 
+    def _claim(self, version: int, number: int):
+        return self._p(f"_manifest/{version:020d}.claim{number:04d}")
+
+    def _claims(self, version: int) -> int:
+        """The number of the latest claim on a version, 0 without one."""
+        number = 0
+        while self.fs.exists(self._claim(version, number + 1)):
+            number += 1
+        return number
+
     def _create(self, path, text: str) -> bool:
         if self.fs.exists(path):
             return False
@@ -93,6 +123,7 @@ class ShardStore:
         return {"folder": folder, "files": [f for f, _ in files], "bytes": sum(n for _, n in files)}
 
     def _write(self, df: DataFrame, folder: str, by: list[str] | None = None) -> None:
+        self._writing.add(folder)
         out = df.write.option("compression", "zstd")
         (out.partitionBy(*by) if by else out).parquet(f"{self.path}/{folder}")
 
@@ -115,10 +146,17 @@ class ShardStore:
     def _add(self, runs: list[dict], df: DataFrame, compact: bool = False) -> list[dict]:
         schema, out = df.schema.json(), []
         for run in runs or [None]:
-            base = self.manifest()
-            if base["schema"] not in (None, schema):
-                raise ValueError("rows of another schema than the store's")
-            out.append(self.commit(base, base["runs"] + ([run] if run and run["files"] else []), schema))
+            for left in range(self.tries - 1, -1, -1):
+                base = self.manifest()
+                if base["schema"] not in (None, schema):
+                    raise ValueError("rows of another schema than the store's")
+                try:
+                    out.append(self.commit(base, base["runs"] + ([run] if run and run["files"] else []), schema))
+                    break
+                except CommitConflict:  # arrivals commute: add to the version that won
+                    if not left:
+                        raise
+                    time.sleep(random.uniform(0, 0.2 * (self.tries - left)))
             if compact:
                 self.compact()
         return out
@@ -155,7 +193,7 @@ class ShardStore:
             rows = self._read([f for r in old for f in r["files"]], base["schema"])
             self._write(rows.coalesce(files), folder)
             gone = {r["folder"] for r in old}
-            try:
+            try:  # a merge that meets another writer is given up, not tried again
                 self.commit(base, [r for r in base["runs"] if r["folder"] not in gone] + [self._run(folder)], base["schema"])
             except CommitConflict:
                 remove(self.spark, f"{self.path}/{folder}")
@@ -164,18 +202,30 @@ class ShardStore:
             self.vacuum()
 
     def vacuum(self) -> None:
-        """Delete old manifests, and files that none of the kept ones names."""
+        """Delete old manifests with their claims, and runs that no kept one
+        names: those of versions that were replaced keep_seconds ago, and what
+        a writer that failed has left as long ago."""
         known = self.versions()
         old, kept = known[: -self.keep], known[-self.keep :]
-        if not old:
-            return
-        used = {r["folder"] for v in kept for r in self.manifest(v)["runs"]}
+        now = time.time()
+        aged = lambda path: now - self.fs.getFileStatus(path).getModificationTime() / 1000 >= self.keep_seconds
+        # a version was replaced when the next one appeared
+        old = [v for v, after in zip(old, known[1:]) if aged(self._p(f"_manifest/{after:020d}.json"))]
+        used = {r["folder"] for v in known if v not in old for r in self.manifest(v)["runs"]}
         for v in old:
             for run in self.manifest(v)["runs"]:
                 if run["folder"] not in used:
                     remove(self.spark, f"{self.path}/{run['folder']}")
-        for v in old:
-            remove(self.spark, f"{self.path}/_manifest/{v:020d}.json")
+        for s in self.fs.listStatus(self._p("_manifest")) if old else ():
+            name = s.getPath().getName()
+            if name.split(".")[0].isdigit() and int(name.split(".")[0]) in old:
+                self.fs.delete(s.getPath(), False)
+        if kept and self.fs.exists(self._p("runs")):
+            tops = {"/".join(f.split("/")[:2]) for f in used}
+            for s in self.fs.listStatus(self._p("runs")):
+                name = f"runs/{s.getPath().getName()}"
+                if name not in tops and name not in self._writing and now - s.getModificationTime() / 1000 >= max(self.keep_seconds, 60 * self.claim_seconds):
+                    remove(self.spark, f"{self.path}/{name}")
 
     # -- reading
 
@@ -198,10 +248,12 @@ class ShardStore:
 def shard(docs: DataFrame, path: str, arrivals: int = 8, **knobs) -> ShardStore:
     """Append docs in arrivals, by a hash of doc_id, and compact.
 
-    Every row is stored as it is: nulls, repeated rows and extra columns
-    included.  An empty table commits a version without files.
+    Every row is stored as it is: nulls, empty and long texts, repeated rows
+    and extra columns included.  An empty table commits a version without
+    files.  The store is new and has no readers yet, so that merged runs are
+    deleted at once.
     """
-    store = ShardStore(docs.sparkSession, path, **knobs)
+    store = ShardStore(docs.sparkSession, path, **{"keep_versions": 1, "keep_seconds": 0, **knobs})
     store.append_batches(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), arrivals)
     return store
 
