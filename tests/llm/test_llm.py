@@ -7,6 +7,7 @@ import hashlib
 import math
 import pickle
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from verdictlake.llm import common, jaccard, lm, mixing, packing, quality, queries, sharding, textvec, token_files, topk, toxicity, warc
 
@@ -58,19 +60,37 @@ def test_words_and_windows():
 
 @pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_coder_is_the_tokenizer(docs, name, keep):
-    c = common.WordCoder(common.vocabulary(name), keep, most=40)  # a cache that overflows
+    c = common.WordCoder(common.vocabulary(name), keep, most=300)  # a cache that overflows
     texts = [r.text or "" for r in docs.collect()] + ["a  ", "\n\nb", "don't. 'x 9th, a_b É́. İx ΑΣ Σ ẞ", "a\xa0 ?\x85b"]
-    want = [e.ids for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    parts = [*" \t\n\r\x0b\x0c" * 3, *"ab'ABstdHé.,!1_-ΣΑς=", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\u0301", "\u0331", "\u0338", "İ", "ẞ", "中", "😀", "'ll", "don't", " the", "\ufeff", "\x00", "ǅ", "Ⅷ", "²"]
+    rng = np.random.default_rng(8)
+    for most in (len(parts), 30):
+        texts += ["".join(parts[k] for k in rng.integers(0, most, rng.integers(0, 25))) for _ in range(4000)]
+    plain = Tokenizer.from_file(common.vocabulary(name))
+    plain.encode_special_tokens = True
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u2").tolist() for x in c.encode(texts)] == want
+        assert [x.tolist() for x in c.encode(pa.array([t.encode() for t in ["cut off", *texts]], pa.binary()).slice(1))] == want
+    assert c.encode(pa.array([b"\xff a"], pa.binary()))[0].tolist() == plain.encode("\ufffd a", add_special_tokens=False).ids
+    assert c.encode(pa.array([], pa.binary())) == []
+
+
+def ids_of(name, text, end):
+    """By the tokenizers library alone, in one piece."""
+    if name not in _PLAIN:
+        _PLAIN[name] = Tokenizer.from_file(common.vocabulary(name))
+        _PLAIN[name].encode_special_tokens = True
+    return np.array([*_PLAIN[name].encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
+
+
+_PLAIN = {}
 
 
 def test_packing_loses_nothing(spark, docs, empty):
     rows = packing.pack(docs, capacity=64, open_windows=3, fan_in=2).toPandas()
-    c = common.WordCoder(common.vocabulary("word_bpe_49k.json"), False)
     want = collections.Counter()
     for r in docs.collect():
-        ids = np.append(np.frombuffer(c.encode([r.text or ""])[0], "<u2"), 1)
+        ids = ids_of("word_bpe_49k.json", r.text, 1)
         want[(r.doc_id, len(ids))] += len(ids)
     got = collections.Counter()
     for r in rows.itertuples():
@@ -86,21 +106,19 @@ def test_packing_loses_nothing(spark, docs, empty):
 def test_packing_pieces_are_the_ids(spark):
     d = common.table(spark, DATA, "documents")
     texts = {r.doc_id: r.text or "" for r in d.collect()}
-    c = common.WordCoder(common.vocabulary("word_bpe_49k.json"), False)
+    ids = {k: ids_of("word_bpe_49k.json", t, 1) for k, t in texts.items()}
     for r in packing.pack(d).collect():
-        ids = np.append(np.frombuffer(c.encode([texts[r.doc_id]])[0], "<u2"), 1)[r.start : r.start + r.length]
-        assert zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
 def test_token_files(spark, docs, empty):
     folder = common.work_path(spark, "t")
     index = token_files.write_tokens(docs, folder, length=32)
     rows = token_files.read_tokens(spark, folder, index).orderBy("start").collect()
-    c = common.WordCoder(common.vocabulary("byte_bpe_50k.json"), True)
     at = 0
     for got, want in zip(rows, docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").collect(), strict=True):
-        ids = np.append(np.frombuffer(c.encode([want.text or ""])[0], "<u2"), 0)
-        assert (got.doc_id, got.start, got.n_tokens, got.ids_crc32) == (want.doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        ids = ids_of("byte_bpe_50k.json", want.text, 0)
+        assert (got.doc_id, got.start, got.n_tokens, got.ids_crc32) == (want.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     for f in index.collect():
         t = token_files.TokenFile(f"{folder}/{f.file}.arrow")
@@ -142,6 +160,61 @@ def test_mix_fills_siblings_first(spark):
     assert got == {"src0": 205, "a": 20, "b": 92, "c": 93}
 
 
+def test_mix_meets_budgets_with_repeated_and_null_ids(spark):
+    """Each leaf takes its budget to the token, whatever rows share an id."""
+    rows = [(None, "w " * 11, "en", "a", 1)] * 40 + [(7, "x y z", "en", "b", 1)] * 30 + [(7, "x y", "en", "b", 1)] * 5 + [(k, "q " * k, "de", None, 1) for k in range(9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    for share, epochs in (((1, 2), 1), ((3, 2), 2), ((1, 3), 3)):
+        m = mixing.Mix(share=share, max_epochs=epochs)
+        got = mixing.mix_documents(d, m)
+        budget = {tuple(r)[:3]: r.budget for r in mixing.plan(mixing.sizes_of(d, m), m).collect()}
+        took = {tuple(r)[:3]: r.t for r in got.groupBy("domain", "language", "origin").agg(F.sum("take_tokens").alias("t")).collect()}
+        assert took == {k: v for k, v in budget.items() if v}
+        assert sum(took.values()) == sum(len((r[1] or "").split()) for r in rows) * share[0] // share[1]
+        assert got.where("take_tokens < tokens").groupBy("domain", "language", "origin").count().where("count > 1").count() == 0
+
+
+def test_mix_cuts_texts(spark):
+    d = spark.createDataFrame([(k, f" a{k}  b{k}\nc{k} d", "en", "s", 1) for k in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    m = mixing.Mix(share=(11, 40), max_epochs=1)
+    kept = {r.doc_id: r.text for r in mixing.keep_mixed(d, m).collect()}
+    takes = {r.doc_id: r.take_tokens for r in mixing.mix_documents(d, m).collect()}
+    assert sum(takes.values()) == 11 and sorted(takes.values()) == [3, 4, 4]
+    assert {k: len(t.split()) for k, t in kept.items()} == takes
+    assert all(f" a{k}  b{k}\nc{k} d".startswith(t) for k, t in kept.items())
+
+
+#: Every name that an operator gives to a column of its own.
+INTERNAL = ["rest", "whole_epochs", "mix_tokens", "mix_domain", "epoch", "take_tokens", "domain", "language", "origin", "key", "tokens", "digest", "keep_id", "keep_digest", "__digest", "own", "keep", "mix", "plan", "number", "part", "class_key", "bands", "grams", "bucket", "blocks", "block", "__text", "held_out", "toxic", "quality", "score", "kept", "n_words", "text_bytes", "ids", "open", "word", "row", "c", "count", "Rest", "MIX_0"]
+
+
+def test_other_columns_keep_their_values(spark, docs, labels):
+    """Columns named as those that the operators use themselves."""
+    names = list({n.lower(): n for n in INTERNAL}.values())
+    odd = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    stages = [("keep_good", lambda d: quality.keep_good(d, labels)), ("keep_clean", lambda d: toxicity.keep_clean(d, labels)), ("keep_one", jaccard.keep_one), ("keep_mixed", lambda d: mixing.keep_mixed(d, mixing.Mix(share=(3, 4), max_epochs=1)))]
+    for name, stage in stages:
+        out, plain = stage(odd).collect(), stage(docs).collect()
+        assert out and sorted(map(repr, ([r[c] for c in docs.columns] for r in out))) == sorted(map(repr, ([r[c] for c in docs.columns] for r in plain))), name
+        assert all(tuple(r)[len(docs.columns) :] == tuple(range(len(names))) for r in out), name
+    for run in (lambda d: quality.quality(d, labels), lambda d: toxicity.toxicity(d, labels), mixing.mix_documents, jaccard.near_duplicates, lm.score, packing.pack):
+        assert run(odd).count() == run(docs).count()
+
+
+def test_shared_folder_of_the_session(spark, tmp_path, monkeypatch):
+    """A checkpoint folder that the caller has set is used and stays."""
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        there = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+            assert common.shared_folder(spark) == there
+        assert spark.sparkContext.getCheckpointDir() == there
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
+
+
 def test_mix_odd_rows(docs, empty):
     got = mixing.mix_documents(docs).toPandas()
     assert not got.doc_id.isin([5, 6, 7]).any() and got.take_tokens.sum() >= 1
@@ -221,6 +294,15 @@ def test_warc(spark):
     assert warc.archive(spark.createDataFrame([], PAGES), path + "e").count() == 0
 
 
+def test_warc_many_groups(spark, monkeypatch):
+    """Beyond the bound of the broadcast the same rows come by salted joins."""
+    d = common.table(spark, DATA, "pages")
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(warc.archive(d, common.work_path(spark, "warc")))
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", -1)
+    assert key(warc.archive(d, common.work_path(spark, "warc"))) == want
+
+
 def test_warc_least_bytes(spark):
     d = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], PAGES)
     got = {r.page_id: r.record_type for r in warc.archive(d, common.work_path(spark, "warc"), least_bytes=3).collect()}
@@ -233,8 +315,18 @@ def test_warc_of_others(spark, tmp_path):
     two = warc.record("urn:b", "response", "http://b", "2024-01-01T00:00:00Z", None, b"\1" * 20, 3, b"bye")
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
     (tmp_path / "b.warc").write_bytes(two + one)
+    long = warc.record("urn:c", "response", "http://c", "2024-01-01T00:00:00Z", None, b"\2" * 20, 300_000, b"z" * 300_000)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(one + long + two) + gzip.compress(two))
+    (tmp_path / "d.warc.gz").write_bytes(warc.member(two + one, 1) + warc.member(one, 1))
+    want = {"urn:a": 2 + 1 + 2, "urn:b": 2 + 2 + 1, "urn:c": 1}
+    sizes = {"urn:a": b"hello", "urn:b": b"bye", "urn:c": b"z" * 300_000}
     got = warc.read_warc(spark, str(tmp_path)).select("record_id", "payload").collect()
-    assert sorted((r.record_id, bytes(r.payload)) for r in got) == [("urn:a", b"hello")] * 2 + [("urn:b", b"bye")] * 2
+    assert collections.Counter(r.record_id for r in got) == want and all(bytes(r.payload) == sizes[r.record_id] for r in got)
+    got = warc.read_warc(spark, str(tmp_path), payload="false").where("record_id <> 'urn:c'").collect()
+    assert collections.Counter(r.record_id for r in got) == {"urn:a": 5, "urn:b": 5} and all(r.payload_bytes == len(sizes[r.record_id]) for r in got)
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(one + two)[:-40])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, str(tmp_path)).collect()
 
 
 def test_warc_lengths_of_others(spark, tmp_path):
@@ -270,6 +362,65 @@ def test_shards(spark, docs, empty):
     assert e.read().count() == 0 and e.read().columns == docs.columns
 
 
+def test_shard_claims(spark, docs, monkeypatch):
+    """A void claim is followed by a later one; its holder then gives up."""
+    store = sharding.ShardStore(spark, common.work_path(spark, "shards"), claim_seconds=0.2, tries=1)
+    first = store.append(docs)
+    assert store._create(store._claim(2, 1), "")  # a writer that died
+    with pytest.raises(sharding.CommitConflict):
+        store.commit(first, first["runs"], first["schema"])
+    time.sleep(0.3)
+    create = store._create
+
+    def overtaken(path, text):
+        done = create(path, text)
+        if text and store._claims(2) == 2:  # this writer slept; another one claims
+            create(store._claim(2, 3), "")
+        return done
+
+    monkeypatch.setattr(store, "_create", overtaken)
+    with pytest.raises(sharding.CommitConflict, match="published"):
+        store.commit(first, first["runs"], first["schema"])
+    monkeypatch.setattr(store, "_create", create)
+    assert store.manifest()["version"] == 1
+    time.sleep(0.3)
+    assert store.append(docs)["version"] == 2 and store.read().count() == 24
+
+
+def test_shard_conflicts_are_tried_again(spark, docs, monkeypatch):
+    store = sharding.ShardStore(spark, common.work_path(spark, "shards"))
+    store.append(docs)
+    commit, met = store.commit, []
+
+    def other_first(base, runs, schema):
+        if not met:
+            met.append(1)
+            commit(base, base["runs"], schema)
+        return commit(base, runs, schema)
+
+    monkeypatch.setattr(store, "commit", other_first)
+    assert store.append(docs)["version"] == 3 and store.read().count() == 24
+
+
+def test_shard_readers_keep_their_version(spark, docs):
+    """A version that was begun stays readable; orphans and old files go later."""
+    path = common.work_path(spark, "shards")
+    store = sharding.ShardStore(spark, path, fan_in=2)
+    store.append(docs)
+    begun = store.read()
+    for _ in range(5):
+        store.append(docs)
+        store.compact()
+    assert begun.count() == 12 and store.read().count() == 72
+    docs.write.parquet(f"{path}/runs/orphan")
+    late = sharding.ShardStore(spark, path, fan_in=2, keep_versions=1, keep_seconds=0, claim_seconds=0)
+    late.vacuum()
+    assert len(late.versions()) == 1 and late.read().count() == 72
+    named = {r["folder"].split("/")[1] for r in late.manifest()["runs"]}
+    assert {s.getPath().getName() for s in late.fs.listStatus(late._p("runs"))} == named
+    assert not [s for s in late.fs.listStatus(late._p("_manifest")) if int(s.getPath().getName().split(".")[0]) < late.versions()[0]]
+
+
 @pytest.mark.parametrize("k,block", [(5, 8192), (3, 4)])
 def test_topk_brute(spark, k, block):
     rng = np.random.default_rng(1)
@@ -283,19 +434,47 @@ def test_topk_brute(spark, k, block):
     for q in range(0, 400, 50):
         order = sorted((-int(x[q] @ x[c]), c) for c in range(400) if c != q)[:k]
         want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(order)}
-    got = topk.top_k(d, k=k, query_block=block)
+    got = topk.top_k(d, k=k, query_block=block, slab_rows=block * 8)
     assert {tuple(r) for r in got.collect()} == want
     assert topk.top_k(d.limit(0)).count() == 0
 
 
+def share_evaluated(x, n_queries, n_pivots=48):
+    """By the operator's search, the sample's scores as a start, in two slabs."""
+    space = topk.PivotSpace.of(topk.choose_pivots(x[:1000], n_pivots))
+    d = topk.distances(x, topk.choose_pivots(x[:1000], n_pivots))
+    q, ids, half = x[:n_queries], np.arange(len(x)), len(x) // 2
+    least = np.sort(np.where(ids[None, :1000] == ids[:n_queries, None], -np.inf, q @ x[:1000].T), axis=1)[:, -5]
+    best, n = topk.Best.of(least, 5), 0
+    for part in (slice(0, half), slice(half, None)):
+        n += topk.search_slab(ids[part], x[part], space.places(x[part], d[part]), ids[:n_queries], q, space.places(q, d[:n_queries]), best)
+    want = np.where(ids[None] == ids[:n_queries, None], -np.inf, q @ x.T)
+    assert all(sorted(best.scores[k], reverse=True) == sorted(want[k], reverse=True)[:5] for k in range(n_queries))
+    return n / n_queries / len(x)
+
+
 def test_pivots_save_work():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 6)) * 2000
-    x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 6)) * 20)
-    p = topk.choose_pivots(x[:500], 24)
-    d = topk.distances(x, p)
-    _, evaluated = topk.search_block(np.arange(4000), x, d, np.arange(5), x[:5], d[:5], 5)
-    assert evaluated < 5 * 4000 / 2
+    assert share_evaluated(np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 6)) * 20), 40) < 0.02
+
+
+def test_pivots_save_work_on_the_table(spark):
+    """The rows of embeddings are spread evenly over 64 dimensions."""
+    t = topk.usable(common.table(spark, "/root/testdata/sf0.1", "embeddings")).orderBy("vec_id").toArrow()
+    assert share_evaluated(topk.matrix(t["embedding"].combine_chunks(), 64), 100) < 0.25
+
+
+def test_topk_odd_rows(spark):
+    """Repeated ids, unequal lengths, values whose multiple is not finite."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 1.0]), (1, [3.0]), (1, [3.0]), (2, [1.0, 1.0, 5.0]), (3, [1e306, 0.0]), (4, []), (50, [-1.0]), (None, [9.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("x", "d", "least", "rank", "score", "query_id")})
+    got = sorted(map(tuple, topk.top_k(d, k=3).collect()))
+    one = 256 * 256
+    assert got == [(0, 1, 1, 3 * one), (0, 2, 1, 3 * one), (0, 3, 2, 2 * one), (50, 1, 4, 0), (50, 2, 0, -one), (50, 3, 0, -one)]
+    assert topk.top_k(spark.createDataFrame([(0, []), (1, []), (2, None)], "vec_id long, embedding array<double>")).collect()[0][1:] == (1, 1, 0)
+    big = spark.createDataFrame([(k, [1e300 * (k - 2), 1.0]) for k in range(4)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(big, k=2).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, one)]
 
 
 def test_lm(spark, docs, empty):
@@ -341,14 +520,66 @@ def test_bloom_counts():
     h = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     c = rng.geometric(0.3, 20_000)
     s = lm.Settings()
-    block = lm.build_block(h ^ lm._SALT[0], c, 1e9, s)
-    bloom = lm.LogFrequencyBloom.of({0: block}, 1, s)
+    bloom = lm.LogFrequencyBloom.of(lm.build_block(h ^ lm._SALT[0], c, s), s)
     want = lm.count_of(lm.level_of(c, s.base), s.base)
     got = bloom.counts(h, lm._SALT[0])
     assert (got >= want).all() and (got == want).mean() > 0.9  # never too low
     assert (bloom.counts(rng.integers(0, 2**63, 20_000, dtype=np.uint64), lm._SALT[0]) > 0).mean() < 0.1
 
 
+def test_full_bloom_ends():
+    """Levels end with the highest one stored, even where every bit is set."""
+    s = lm.Settings()
+    bloom = lm.LogFrequencyBloom(np.full(8, 255, dtype=np.uint8), 64, 7, s)
+    assert (bloom.levels(np.arange(5, dtype=np.uint64), lm._SALT[0]) == 7).all()
+
+
+def brute_lm(rows, s):
+    """Scores from dictionaries of quantised counts, by the formulas."""
+    one, two = collections.Counter(), collections.Counter()
+    for r in rows:
+        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10:
+            t = [*words(r.text), None]
+            one.update(t)
+            two.update(zip([None, *t], t))
+    follow = collections.Counter(h for h, _ in two)
+    q = lambda c: float(lm.count_of(lm.level_of(np.array([c]), s.base), s.base)[0]) if c else 0.0
+    n, unknown = sum(one.values()), max(1, sum(c == 1 for c in one.values())) / sum(one.values())
+
+    def p(h, w):
+        single = max(q(one[w]) - unknown, 0.05) / n * (1 - unknown) if one[w] else unknown
+        given = max(q(one[h]), q(two[h, w]), q(follow[h]))
+        if not given:
+            return single
+        return min(1.0, max(q(two[h, w]) - s.discount, 0) / given + min(1.0, s.discount * max(q(follow[h]), 1) / given) * single)
+
+    return [sum(math.log10(p(h, w)) for h, w in zip([None, *words(r.text)], [*words(r.text), None])) for r in rows], p, one
+
+
+def test_lm_scores_brute(spark, docs):
+    """With so many bits that nothing unseen is found, scores are the formulas'."""
+    s = lm.Settings(bits_per_entry=400.0, probes=8, block_rows=3_000)
+    for d in (docs, common.table(spark, DATA, "documents")):
+        rows = d.collect()
+        want = collections.defaultdict(list)
+        for r, v in zip(rows, brute_lm(rows, s)[0]):
+            want[r.doc_id].append(v)
+        got = collections.defaultdict(list)
+        for r in lm.score(d, s).collect():
+            got[r.doc_id].append(r.score)
+        assert got.keys() == want.keys()
+        assert all(sorted(got[k]) == pytest.approx(sorted(want[k])) for k in want)
+
+
+def test_lm_probabilities_sum_to_about_one(spark):
+    """Counts are quantised, so sums over the vocabulary and the unknown word
+    are near 1: within the width of a level; finer levels are nearer."""
+    for base, low, high in ((1.5, 0.7, 1.15), (1.2, 0.83, 1.1)):
+        _, p, one = brute_lm(common.table(spark, DATA, "documents").collect(), lm.Settings(base=base))
+        for h, _ in [*one.most_common(6), *one.most_common(500)[-6:]]:
+            assert low < sum(p(h, w) for w in [*one, b"\0never"]) < high
+
+
 def brute_quality(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = collections.Counter(tuple(ws[k : k + 8]) for k in range(len(ws) - 7))
@@ -406,16 +637,135 @@ def test_toxicity_odd_rows(docs, labels, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def naive_anomaly(forest, row):
+    """Path lengths by walking each tree alone."""
+    total = 0.0
+    for feature, place, child, length in forest.trees:
+        at = 0
+        while child[at][0] != at:
+            at = int(child[at][1] if row[feature[at]] >= place[at] else child[at][0])
+        total += length[at]
+    return 2 ** (-total / len(forest.trees) / float(forest.expected(forest.sample)))
+
+
+def naive_kept(spark, d, marks):
+    """{doc_id: kept} of the quality rules, verdicts and threshold by brute force."""
+    measured = quality.measure(d)
+    forest, threshold = quality.fit(measured, marks)
+    rows = [(r, naive_anomaly(forest, [r[x] for x in quality.RATES])) for r in measured.collect()]
+    good = {r.doc_id for r in marks.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null").collect()}
+    passed = [(r, v) for r, v in rows if not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)]
+    known = sorted(v for r, v in passed if r.doc_id in good)
+    if known:
+        lost = lambda t: sum(v >= t for v in known) <= 0.003 * len(known)
+        assert lost(threshold) and not lost(threshold - 1 / 2000)
+    return {r.doc_id: any(r is x and v < threshold for x, v in passed) for r, _ in rows}, {r.doc_id: v for r, v in rows}
+
+
+def test_quality_verdicts_brute(spark):
+    d, marks = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
+    kept, anomaly = naive_kept(spark, d, marks)
+    got = quality.quality(d, marks).collect()
+    assert {r.doc_id: r.kept for r in got} == kept and 0 < sum(kept.values()) < len(kept)
+    assert all(r.anomaly == pytest.approx(anomaly[r.doc_id]) for r in got)
+
+
+def naive_toxicity(model, text):
+    """Noisy-or over sentences, word by word."""
+    clean = 1.0
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+        if found:
+            z = model.bias
+            for w in found:
+                one = textvec.words_of(pa.array([w], pa.binary()), space=toxicity._BETWEEN)
+                z += weight.get(int(one.hash[0]), 0.0)
+                for n in toxicity.STEMS:
+                    if len(w) > n:
+                        part = textvec.words_of(pa.array([w[:n]], pa.binary()), space=toxicity._BETWEEN)
+                        z += weight.get(int(textvec.mix(part.hash + np.uint64(n))[0]), 0.0)
+            clean *= 1 - 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    return 1 - clean
+
+
+def test_toxicity_brute(spark):
+    d, marks = common.table(spark, DATA, "documents").where("length(text) < 2000"), common.table(spark, DATA, "labels")
+    model = toxicity.fit(d, marks, least_docs=1, most_each=400)
+    assert len(model.words) and (model.weights > 0).all()
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = toxicity.toxicity(d, marks, least_docs=1, most_each=400).collect()
+    assert any(r.predicted for r in got)
+    for r in got:
+        assert r.score == pytest.approx(naive_toxicity(model, texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_learns_from_no_held_out_label(spark):
+    """Labels of held-out rows may say what they like."""
+    d, marks = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
+    other = marks.withColumn("toxic", F.expr("if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic)"))
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.toxicity(d, m).collect()) for m in (marks, other))
+    assert a == b
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on all that its predecessor kept."""
+    import duckdb
     import corpus_pipeline as p
 
     docs = common.table(spark, DATA, "documents")
+    marks = common.table(spark, DATA, "labels")
     assert [n for n, _ in p.STAGES] == ["quality", "toxicity", "near_duplicates", "mix", "pack"]
     for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, DATA).cache()
+        rows = {r.doc_id: r for r in docs.collect()}
+        if name == "quality":
+            want = {k for k, v in naive_kept(spark, docs, marks)[0].items() if v}
+        elif name == "toxicity":
+            model = toxicity.fit(docs, marks)
+            want = {k for k, r in rows.items() if naive_toxicity(model, r.text) < 0.5}
+        elif name == "near_duplicates":
+            ids = sorted(rows)
+            want = {ids[k] for k in brute_links([rows[k].text for k in ids])[1]}
+        else:
+            con = duckdb.connect()
+            con.register("documents", docs.toArrow())
+            takes = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, take_tokens FROM ({mixing.oracle(p.MIX)})").fetchall()}
+            want = set(takes)
+        out = common.materialize(stage(spark, docs, DATA), "stage")
         assert out.columns == docs.columns
-        before, after = ({r.doc_id for r in x.select("doc_id").collect()} for x in (docs, out))
-        assert after < before, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert got.keys() == want and out.count() == len(want), name
+        for k, r in got.items():
+            if name == "mix" and takes[k] < len(words(rows[k].text)):
+                assert rows[k].text.startswith(r.text) and len(words(r.text)) == takes[k] and r.n_chars == len(r.text)
+            else:
+                assert r == rows[k]
         docs = out
-    packed = p.STAGES[-1][1](spark, docs, DATA)
-    assert {r.doc_id for r in packed.collect()} == after
+    assert len(want) < 200
+    ids = {k: ids_of("word_bpe_49k.json", r.text, 1) for k, r in got.items()}
+    places = collections.defaultdict(list)
+    for r in p.STAGES[-1][1](spark, docs, DATA).collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
+        places[r.doc_id].append((r.start, r.length))
+    for k, v in ids.items():
+        at = 0
+        for start, n in sorted(places[k]):
+            assert start == at
+            at += n
+        assert at == len(v)
+
+
+def test_pipeline_odd_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, no rows, other columns."""
+    import corpus_pipeline as p
+
+    marks = spark.createDataFrame([(k, 1, 0) for k in range(1, 12)], "doc_id long, quality int, toxic int")
+    for name, d in (("odd", docs.withColumn("epoch", F.lit(7))), ("none", empty)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}")
+        assert (out.count() > 0) == (name == "odd")
+        for stage, fn in p.STAGES[:-1]:
+            assert fn(spark, d, f"{tmp_path}/{name}").columns == d.columns, stage
