@@ -33,10 +33,11 @@ def cwe_from_field(field) -> Column:
 
 def cwe_from_cell(cell, prefixed: bool = False) -> Column:
     """Classes of a scanner's cell: separators '!/', ',', ';' and '/', a final
-    '!' dropped; ascending by text.  prefixed: only those with 'CWE-'."""
-    parts = F.transform(F.split(F.coalesce(_c(cell), F.lit("")), r"!/|[,;/]"), lambda x: F.regexp_replace(F.trim(x), r"!+$", ""))
+    '!' and leading zeros dropped; ascending by text.  prefixed: only those
+    with 'CWE-'; else white space separates too, and bare numbers count."""
+    parts = F.transform(F.split(F.coalesce(_c(cell), F.lit("")), r"!/|[,;/]" if prefixed else r"!/|[,;/\s]+"), lambda x: F.regexp_replace(F.trim(x), r"!+$", ""))
     kept = F.filter(parts, lambda x: x.rlike(r"(?i)^CWE-\d+$" if prefixed else r"(?i)^(CWE-)?\d+$"))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.concat(F.lit("CWE-"), F.regexp_extract(x, r"(\d+)$", 1)))))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: canonical_cwe(F.regexp_extract(x, r"(\d+)$", 1)))))
 
 
 def family_map() -> Column:
@@ -98,12 +99,19 @@ def neutral_name(text) -> Column:
     return F.concat(F.lit("sym_"), F.left(F.sha1(_c(text).cast("binary")), F.lit(6)))
 
 
-#: Extensions of source files.
-SOURCE_EXTENSIONS = "c|h|cc|cp|cpp|cxx|hh|hpp|hxx|py|pyw|java|go|rs|js|jsx|ts|tsx|rb|php|cs|kt|swift|m|mm"
+#: Suffixes of source files.
+SOURCE_SUFFIXES = (
+    ".c", ".h", ".cc", ".cp", ".cpp", ".cxx", ".hh", ".hpp", ".hxx",
+    ".py", ".pyw", ".java", ".go", ".rs", ".js", ".jsx", ".ts", ".tsx",
+    ".rb", ".php", ".cs", ".kt", ".swift", ".m", ".mm",
+)
+SOURCE_EXTENSIONS = "|".join(s[1:] for s in SOURCE_SUFFIXES)
 #: Fixed patterns: names that tell a sample's label.
 LEAK_NAME = r"\b(?:CWE\d+_[A-Za-z0-9_]+|[Bb]ad[A-Za-z0-9_]*|[Gg]ood[A-Za-z0-9_]*|[Oo]mit[_]?[Bb]ad\b|[Oo]mit[_]?[Gg]ood\b)\b"
 LEAK_WITHIN = r"CWE[-_]?\d{1,6}|[Bb]ad|[Gg]ood|[Oo]mit[_]?[Bb]ad|[Oo]mit[_]?[Gg]ood"
-LEAK_FOLDER = r"(?i)^CWE[-_]?\d{1,6}$|^(?:vuln|vulnerable|patched|fixed|safe|benign|secure|clean|omitted)$"
+#: Fixed patterns: folders that tell the class, and the variant, in any case.
+CLASS_FOLDER = r"^CWE[-_]?\d{1,6}$"
+VARIANT_FOLDER = r"^(?:vuln|vulnerable|patched|fixed|safe|benign|secure|clean|omitted)$"
 
 
 def sanitize_path(path) -> Column:
@@ -123,7 +131,7 @@ def sanitize_path(path) -> Column:
         last = i == F.size(parts) - 1
         return (
             F.when(x == "", x)
-            .when(x.rlike(LEAK_FOLDER), neutral_name(x))
+            .when(x.rlike("(?i)" + CLASS_FOLDER) | x.rlike("(?i)" + VARIANT_FOLDER), neutral_name(x))
             .when(x.rlike(f"^{LEAK_NAME}$"), neutral_name(x))
             .when(last & (dotted != "") & stem.rlike(LEAK_WITHIN), F.concat(neutral_name(stem), dotted))
             .otherwise(x)
@@ -258,7 +266,7 @@ def context_span(text, line, radius: int = 8, most: int = 400, bounds=None) -> C
     one the first 2r+1.  Bounds (start_line, end_line of the function around
     it) widen the window; one of more than `most` lines is then cut around the
     line, and truncated says so."""
-    n, at = F.size(F.split(_c(text), "\n")), _c(line)
+    n, at = F.size(lines_of(text)), _c(line)
     first, last, cut = F.greatest(F.lit(1), at - radius), F.least(n, at + radius), F.lit(False)
     if bounds is not None:
         start, end = _c(bounds).getField("start_line"), _c(bounds).getField("end_line")
@@ -274,11 +282,18 @@ def context_span(text, line, radius: int = 8, most: int = 400, bounds=None) -> C
 
 
 def context_window(text, line, radius: int = 8, most: int = 400, bounds=None) -> Column:
-    """Numbered lines of context_span."""
+    """The lines of context_span, numbered where a line was asked for."""
     span = context_span(text, line, radius, most, bounds)
     first, last = span.getField("start_line"), span.getField("end_line")
-    part = F.slice(F.split(_c(text), "\n"), first, F.greatest(last - first + 1, F.lit(0)))
-    return F.array_join(F.transform(part, lambda x, i: F.concat(F.lpad((i + first).cast("string"), 6, " "), F.lit(": "), x)), "\n")
+    part = F.slice(lines_of(text), first, F.greatest(last - first + 1, F.lit(0)))
+    numbered = F.transform(part, lambda x, i: F.concat(F.lpad((i + first).cast("string"), 6, " "), F.lit(": "), x))
+    return F.array_join(F.when(_c(line).isNull() | (_c(line) < 1), part).otherwise(numbered), "\n")
+
+
+def lines_of(text) -> Column:
+    """Lines of a text, however they end; the last end adds none."""
+    t = F.regexp_replace(_c(text), r"\r\n|\r", "\n")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
 
 
 def is_code_line(text) -> Column:
