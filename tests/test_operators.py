@@ -1,5 +1,6 @@
 """Single operators on rows with known results."""
 
+import hashlib
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdictlake import vocab
 from verdictlake.functions import columns as C
-from verdictlake.operators import facts, matching, offline, redact, taint, verdicts
+from verdictlake.operators import corpus, facts, matching, offline, redact, taint, verdicts
 from verdictlake.operators import findings as findings_ops
 from verdictlake.sources import readers
 from verdictlake.streaming import latest
@@ -20,8 +21,8 @@ def value(spark, column):
 
 
 def test_families_meet_through_parents():
-    assert set(vocab.family(121)) & set(vocab.family(122)) >= {119, 118}
-    assert 664 in vocab.family(415) and not set(vocab.family(78)) & set(vocab.family(190))
+    assert set(vocab.family("CWE-121")) & set(vocab.family("CWE-122")) >= {"CWE-119", "CWE-118"}
+    assert "CWE-664" in vocab.family("CWE-415") and not set(vocab.family("CWE-78")) & set(vocab.family("CWE-190"))
 
 
 @pytest.mark.parametrize("a,b,same", [("a/foo.c", "foo.c", True), ("verylongfoo.c", "foo.c", False), ("/x/a/foo.c", "a/foo.c", True), ("/a/foo.c", "/x/a/foo.c", False), ("a\\foo.c", "a/foo.c/", True), ("", "foo.c", False)])
@@ -123,14 +124,14 @@ def chains(text, language):
 
 
 @pytest.mark.parametrize("body,want", [
-    ("    os.system(x)\n", ("command", True, "", "parameter")),
-    ("    subprocess.run([x])\n", ("command", True, "argument-list", "parameter")),
-    ("    subprocess.run(x, shell=False)\n", ("command", True, "no-shell", "parameter")),
-    ("    cursor.execute('q', (x,))\n", ("sql", True, "parameterised-query", "parameter")),
-    ("    yaml.load(x, Loader=yaml.SafeLoader)\n", ("deserialization", True, "safe-loader", "parameter")),
-    ("    eval(ast.literal_eval(x))\n", ("code", False, "", "")),
-    ("    y = input()\n    z = y + '1'\n    eval(z)\n", ("code", True, "", "external-source")),
-    ("    eval(input())\n", ("code", True, "", "external-source")),
+    ("    os.system(x)\n", ("command_injection", True, "", "parameter")),
+    ("    subprocess.run([x])\n", ("command_injection", True, "argument-list", "parameter")),
+    ("    subprocess.run(x, shell=False)\n", ("command_injection", True, "no-shell", "parameter")),
+    ("    cursor.execute('q', (x,))\n", ("sql_injection", True, "parameterised-query", "parameter")),
+    ("    yaml.load(x, Loader=yaml.SafeLoader)\n", ("unsafe_deserialization", True, "safe-loader", "parameter")),
+    ("    eval(ast.literal_eval(x))\n", ("code_injection", False, "", "")),
+    ("    y = input()\n    z = y + '1'\n    eval(z)\n", ("code_injection", True, "", "external-source")),
+    ("    eval(input())\n", ("code_injection", True, "", "external-source")),
 ])
 def test_python_taint(body, want):
     assert chains("def f(x):\n" + body, "python") == [want]
@@ -158,6 +159,78 @@ def test_repair_json():
     good = '{"a": "x\\"y", "b": [1, "z"]}'
     assert redact.mended(good) == good
     assert json.loads(redact.mended('{"a": "no "hole" here\n", "b": 1}')) == {"a": 'no "hole" here\n', "b": 1}
+    assert json.loads(redact.mended('{"a": "x\\\\", "b": "\x01 \\" y" z", "c": ["q"w"]}')) == {"a": "x\\", "b": '\x01 " y" z', "c": ['q"w']}
+    assert redact.mended('"open') == '"open' and redact.mended("") == "" and redact.mended(None) is None
+    assert redact.mended('{"a": "tab\there", "b": "\\u0041"}') == '{"a": "tab\\there", "b": "\\u0041"}'
+
+
+@pytest.mark.parametrize("expression,want", [("f(a, g(b, c), [d, e])", ["a", "g(b, c)", "[d, e]"]), ("f()", [""]), ("f", []), ("(char *) p.q(x, {1: 2, 3: 4})", ["x", "{1: 2, 3: 4}"]), ("f(a, b", ["a", "b"]), ("f(a)(b, c)", ["a"])])
+def test_arguments(expression, want):
+    assert taint.arguments(expression) == want
+
+
+@pytest.mark.parametrize("expression,want", [("os.path.join(a, os.path.basename(b))", "os.path.join(a,  __sanitized__ )"), ("int(x) + y", " __sanitized__  + y"), ("print(x)", "print(x)"), ("x.json.loads(int(y)) + quote (z)", "x. __sanitized__  +  __sanitized__ "), ("point(int)", "point(int)"), ("int(a", " __sanitized__ ")])
+def test_sanitized_calls_are_blanked(expression, want):
+    assert taint.unsanitized(expression) == want
+
+
+def test_nested_json_is_redacted_in_two_passes(spark):
+    value = {"CWE-787": ["juliet/CWE-787/bad/func1_bad_2.c:12", "CWE-787", "see badSink()", 3, None], "f": "C:\\x\\safe\\y.py", "n": "note:12"}
+    got = redact.redacted(value)
+    sha = lambda x: redact._neutral(x)
+    # the name of the folder is gone before the path is looked at
+    assert got["CWE-787"][0] == f"juliet/{sha('CWE-787')}/{sha('bad')}/{sha('func1_bad_2')}.c:12"
+    assert got["CWE-787"][1:] == ["CWE-787", f"see {sha('badSink')}()", 3, None]
+    assert got["f"] == f"C:/x/{sha('safe')}/y.py" and got["n"] == "note:12"
+    assert redact.redacted("badSink a.c", identifiers=False, paths=False) == "badSink a.c"
+    paths = ["juliet/CWE-1/bad/f_bad.c:12", "C:\\a\\good\\x.py", "lib/safe/u.h", "bad.c", "x/good1/y.mm", "a/b.c", "goodwill/embad.c:3"]
+    frame = spark.createDataFrame([(p,) for p in paths], "p string").select(C.sanitize_path("p").alias("q"))
+    assert [redact.neutral_path(p) for p in paths] == [r.q for r in frame.collect()]
+
+
+def test_balanced_samples(spark):
+    rows = [(k, f"s{k}", k % 4 == 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "ord long, sample_id string, vulnerable boolean")
+    count = lambda d: tuple(sum(r.vulnerable is x for r in d.collect()) for x in (True, False))
+    assert count(corpus.balanced_sample(df)) == (10, 10)
+    assert count(corpus.balanced_sample(df, 7)) == (4, 3)
+    assert count(corpus.balanced_sample(df, 1)) == (1, 0)
+    assert count(corpus.balanced_sample(df.where("vulnerable"))) == (10, 0)
+    assert count(corpus.balanced_sample(df.where("vulnerable"), 4)) == (4, 0)
+    assert count(corpus.balanced_sample(df, balanced=False)) == (10, 30)
+    assert count(corpus.balanced_sample(df, 15, balanced=False)) == (10, 5)
+    want = sorted(rows, key=lambda r: hashlib.sha256(f"7|{r[1]}".encode()).hexdigest())[:9]
+    assert sorted(r.ord for r in corpus.first_seeded(df, 9, 7).collect()) == sorted(r[0] for r in want)
+
+
+def test_findings_without_a_file_stand_alone(spark):
+    rows = [(k, f, 10, ["CWE-1"], "r.1", None) for k, f in enumerate(["", "", None, None, "a", "a"])]
+    df = spark.createDataFrame(rows, "ord long, file string, line int, cwe array<string>, rule_id string, function string")
+    got = {r.ord: (r.file, r.group) for r in findings_ops.correlate(df).collect()}
+    assert len({got[k] for k in range(4)}) == 4 and got[4] == got[5]
+
+
+def test_cells_contexts_and_failures(spark):
+    cell = lambda x, p=False: list(value(spark, C.cwe_from_cell(F.lit(x), p)))
+    assert cell("119 120") == ["CWE-119", "CWE-120"] and cell("CWE-079") == ["CWE-79"] and cell("cwe-362/CWE-367!", True) == ["CWE-362", "CWE-367"] and cell("120, x", True) == []
+    text = F.lit("a\nb\nc\n")
+    assert value(spark, C.context_window(text, F.lit(None).cast("int"))) == "a\nb\nc" == value(spark, C.context_window(text, F.lit(0)))
+    assert value(spark, C.context_window(text, F.lit(2), radius=1)) == "     1: a\n     2: b\n     3: c"
+    kinds = {"TruncatedResponse: x": "none", "TimeoutError": "timeout", "ValueError: json": "parse", "RuntimeError: 503": "transport", "TypeError: x": "none", None: "none", "asyncio.TimeoutError: x": "timeout"}
+    assert {k: value(spark, verdicts.failure_kind_of_call(F.lit(k).cast("string"))) for k in kinds} == kinds
+    assert value(spark, verdicts.backoff_delay(F.lit(1), F.lit(0.0))) == 1.0 and value(spark, verdicts.backoff_delay(F.lit(9), F.lit(0.5))) == 15.0
+    reason = lambda n, failed, proposed, found: value(spark, verdicts.fallback_reason(F.lit(n), F.lit(failed), F.lit(proposed), F.lit(found)))
+    assert [reason(*x) for x in ((0, True, 0, 0), (0, False, 2, 0), (0, False, 0, 3), (0, False, 0, 0), (1, True, 2, 3))] == ["scanner_failed", "all_hypotheses_dropped_as_echoes", "scanner_declined_but_tools_flagged_the_file", "", ""]
+
+
+def test_branches_and_dangerous_calls():
+    python = "def f(x):\n    if x:\n        pass\n    elif input():\n        y = 1 if x else 2\n    try:\n        os.popen(x)\n    finally:\n        pass\n    match x:\n        case 1:\n            subprocess.Popen(x)\n"
+    got = facts.file_facts("p", "python", python)
+    assert got["branch_count"] == 3 and [c["name"] for c in got["dangerous_calls"]] == ["input", "os.popen"]
+    c = "#if X\n#endif\nvoid f(int a) {\n  switch (a) { case 1: scanf(a); case 2: break; }\n  do { a--; } while (a);\n  while (a) { a--; }\n  if (a) {} else if (a > 1) {}\n}\n"
+    got = facts.file_facts("p", "c", c)
+    assert got["branch_count"] == 5 and [c["name"] for c in got["dangerous_calls"]] == ["scanf"]
+    assert facts.file_facts("p", "cpp", "void f() {\n  for (auto x : y) {}\n  for (int i = 0; i < 1; i++) {}\n  try { g(); } catch (int e) {}\n}\n")["branch_count"] == 2
 
 
 def test_comments_keep_places():

@@ -75,15 +75,35 @@ def stratified_subset(df: DataFrame, per_stratum: int, seed: int = 7) -> DataFra
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_stratum).drop("__rn")
 
 
-def balanced_sample(df: DataFrame, limit: int | None = None, seed: int = 7) -> DataFrame:
-    """As many vulnerable as benign rows, at most half the limit, rounded up,
-    of each, then the limit over both."""
-    sizes = df.groupBy("vulnerable").count().agg(F.min("count").alias("n"), F.count("*").alias("kinds")).select(F.when(F.col("kinds") == 2, F.col("n")).otherwise(F.lit(0)).alias("most"))
-    w = Window.partitionBy("vulnerable").orderBy(seeded("sample_id", seed), "ord")
-    out = df.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(sizes)).where("__rn <= most")
-    if limit is not None:
-        out = out.where(F.col("__rn") <= -(-limit // 2)).orderBy(seeded("sample_id", seed + 1), "ord").limit(limit)
-    return out.drop("__rn", "most")
+def first_seeded(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """The first n rows in seeded order.  Sums over 65,536 ranges of the order
+    tell the range in which the n-th row lies; only that range is sorted."""
+    mark, part = "__place", F.substring(seeded("sample_id", seed), 1, 4)
+    sums = df.groupBy(part.alias("part")).count().withColumn("upto", F.sum("count").over(Window.orderBy("part")))
+    end = sums.where(F.col("upto") >= n).orderBy("part").first()
+    if end is None:
+        return df
+    within = Window.partitionBy(part).orderBy(seeded("sample_id", seed), "ord")
+    last = df.where(part == end["part"]).withColumn(mark, F.row_number().over(within)).where(F.col(mark) <= n - (end["upto"] - end["count"])).drop(mark)
+    return df.where(part < end["part"]).unionByName(last)
+
+
+def balanced_sample(df: DataFrame, limit: int | None = None, seed: int = 7, balanced: bool = True) -> DataFrame:
+    """Vulnerable and benign rows in seeded order, at most the limit.
+
+    balanced: as many of each where there are both, half the limit, rounded up,
+    of each; a limit that is odd costs a benign row.  Else, or where a class is
+    missing, all rows of both, vulnerable ones first."""
+    n = df.agg(F.count_if("vulnerable").alias("v"), F.count_if(~F.col("vulnerable")).alias("b")).first()
+    v, b = n["v"], n["b"]
+    both = balanced and v and b
+    if both:
+        v = b = min(v, b)
+    if limit is not None and v + b > limit:
+        v = min(v, max(1, -(-limit // 2)) if both else limit)
+        b = min(b, limit - v)
+    take = lambda of, k: first_seeded(df.where(of), k, seed) if k else df.where(of).limit(0)
+    return take(F.col("vulnerable"), v).unionByName(take(~F.col("vulnerable"), b))
 
 
 def top_classes(df: DataFrame, n: int = 10) -> DataFrame:

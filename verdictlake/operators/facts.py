@@ -23,8 +23,13 @@ SCHEMA = (
     "references array<struct<text:string, line:int>>, imports array<struct<name:string, line:int>>, "
     "globals array<struct<names:array<string>, line:int>>, dangerous_calls array<struct<name:string, line:int>>"
 )
-#: Calls that are listed as dangerous.
-DANGEROUS = {"strcpy", "strcat", "sprintf", "gets", "memcpy", "system", "popen", "eval", "exec", "os.system", "pickle.loads", "yaml.load", "subprocess.call", "subprocess.run", "subprocess.Popen"}
+#: Calls that are listed as dangerous, by language.
+DANGEROUS_C = {"strcpy", "strcat", "sprintf", "gets", "scanf", "sscanf", "memcpy", "memmove", "system", "popen", "printf"}
+DANGEROUS = {
+    "python": {"eval", "exec", "compile", "pickle.loads", "subprocess.call", "subprocess.run", "os.system", "os.popen", "yaml.load", "render_template_string", "input", "os.getenv"},
+    "c": DANGEROUS_C,
+    "cpp": DANGEROUS_C,
+}
 
 
 def empty(path: str, language: str | None) -> dict:
@@ -90,11 +95,19 @@ class _Python(ast.NodeVisitor):
                 return
         self.generic_visit(node)
 
-    def visit_If(self, node) -> None:
+    visit_AsyncFor = visit_For
+
+    def visit_While(self, node) -> None:
         self.out["branch_count"] += 1
         self.generic_visit(node)
 
-    visit_While = visit_Try = visit_IfExp = visit_If
+    visit_Try = visit_TryStar = visit_Match = visit_While
+
+    def visit_If(self, node) -> None:
+        """An elif is a part of the statement before it."""
+        line = self.text.splitlines()[node.lineno - 1].encode()[node.col_offset :]
+        self.out["branch_count"] += not line.startswith(b"elif")
+        self.generic_visit(node)
 
 
 _C_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
@@ -155,7 +168,11 @@ def c_facts(text: str, out: dict) -> None:
             out["globals"].append({"names": [m[1]], "line": fact["line"]})
     for m in re.finditer(r"\bargv\b(?:\s*\[[^\]]*\])?", bare):
         out["references"].append({"text": code[m.start() : m.end()], "line": line_of(m.start())})
-    out["branch_count"] = len(re.findall(r"\b(?:if|for|while|case)\b", bare))
+    plain = re.sub(r"(?m)^[ \t]*#(?:\\\n|[^\n])*", "", bare)
+    words = r"if|for|while|switch|try" if out["language"] == "cpp" else r"if|for|while|switch"
+    ranges = len(re.findall(r"\bfor\s*\([^;()]*(?<!:):(?!:)[^;]*?\)", plain)) if out["language"] == "cpp" else 0
+    # the while that ends a do stands for the do
+    out["branch_count"] = len(re.findall(rf"\b(?:{words})\b", plain)) - ranges
 
 
 def file_facts(path: str, language: str | None, text: str | None) -> dict:
@@ -167,7 +184,7 @@ def file_facts(path: str, language: str | None, text: str | None) -> dict:
             out["parse_has_errors"] = True
     elif language in ("c", "cpp"):
         c_facts(text or "", out)
-    out["dangerous_calls"] = [{"name": c["name"], "line": c["line"]} for c in out["calls"] if c["name"] in DANGEROUS or c["name"].split("::")[-1] in DANGEROUS]
+    out["dangerous_calls"] = [{"name": c["name"], "line": c["line"]} for c in out["calls"] if {c["name"], c["name"].split("::")[-1]} & DANGEROUS.get(language or "", set())]
     return out
 
 

@@ -59,8 +59,8 @@ def correlate(df: DataFrame, tolerance: int = 2) -> DataFrame:
     In the order of ord a finding joins the first group of its file with a
     member in the same function that shares a class, or at most `tolerance`
     lines away that shares a class or the rule's first part; else it opens one.
-    The order matters, so a file is a group of its own.  Findings without a file
-    stand alone.
+    The order matters, so a file is a group of its own.  Findings without a
+    file, null or empty, stand alone, each numbered by its ord.
     """
 
     def one_file(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,8 +81,6 @@ def correlate(df: DataFrame, tolerance: int = 2) -> DataFrame:
                 for step in range(-tolerance, tolerance + 1):
                     for m in marks:
                         near |= by_line.get((int(line) + step, m), set())
-            if pd.isna(pdf["file"].iloc[0]):
-                near = set()
             g = min(near) if near else len(groups)
             if g == len(groups):
                 groups.append([])
@@ -96,7 +94,10 @@ def correlate(df: DataFrame, tolerance: int = 2) -> DataFrame:
             numbers.append(g)
         return pd.DataFrame({"file": pdf["file"], "ord": pdf["ord"], "group": numbers})
 
-    return df.select("file", "ord", "line", "cwe", "rule_id", "function").groupBy("file").applyInPandas(one_file, "file string, ord long, group long")
+    rows = df.select("file", "ord", "line", "cwe", "rule_id", "function")
+    placed = F.coalesce(F.col("file") != "", F.lit(False))
+    alone = rows.where(~placed).select("file", F.col("ord").cast("long").alias("ord"), F.col("ord").cast("long").alias("group"))
+    return rows.where(placed).groupBy("file").applyInPandas(one_file, "file string, ord long, group long").unionAll(alone)
 
 
 def group_summary(df: DataFrame, groups: DataFrame) -> DataFrame:

@@ -77,8 +77,7 @@ def top_n(df: DataFrame, scope: list[str], n: int) -> DataFrame:
 
 
 def taint_modelled(cwe: Column) -> Column:
-    names = [f"CWE-{n}" for n in (*vocab.SINK_CLASS.values(), *vocab.MODELLED_ALIASES)]
-    return F.upper(cwe).isin(*names)
+    return F.upper(cwe).isin(*vocab.SINK_CLASS.values(), *vocab.MODELLED_ALIASES)
 
 
 def resolve_hedge(decision: Column, usable: Column, verified: Column, confidence: Column, least: float = 0.5) -> Column:
@@ -87,22 +86,64 @@ def resolve_hedge(decision: Column, usable: Column, verified: Column, confidence
     return F.when((decision == "UNCERTAIN") & usable, F.when(verified & (confidence >= least), "CONFIRMED").otherwise("REJECTED")).otherwise(decision)
 
 
-def evidence_gate(verified: Column, missing: Column, modelled: Column, n_proven: Column, engine_silent: Column, mitigated: Column, confidence: Column, least: float = 0.5, reject_mitigated: bool = False) -> Column:
-    """Why a confirmation does not stand: the first reason that holds, or ''."""
-    out = F.when(~verified, "chain_unverified").when(F.size(missing) > 0, "missing_evidence").when((n_proven == 0) & ~engine_silent & modelled, "no_path")
+def evidence_gate(verified: Column, missing: Column, modelled: Column, n_proven: Column, engine_silent: Column, mitigated: Column, confidence: Column, least: float = 0.5, reject_mitigated: bool = False, reject_ungrounded: bool = True, require_chain: bool = True) -> Column:
+    """Why a confirmation does not stand: the first reason that holds, or ''.
+    The tests of missing evidence, of the engine's path and of mitigated paths
+    can be switched."""
+    out = F.when(~verified, "chain_unverified")
+    if reject_ungrounded:
+        out = out.when(F.size(missing) > 0, "missing_evidence")
+    if require_chain:
+        out = out.when((n_proven == 0) & ~engine_silent & modelled, "no_path")
     if reject_mitigated:
         out = out.when(mitigated, "mitigated")
     return out.when(confidence < least, "low_confidence").otherwise("")
 
 
-def resolved_class(verified: Column, proposed: Column) -> Column:
-    """The verifier's classes, else the proposed one."""
-    return F.when(F.size(verified) > 0, verified).when(F.coalesce(proposed, F.lit("")) != "", F.array(proposed)).otherwise(F.array().cast("array<string>"))
+def resolved_class(verified: Column, proposed: Column, verifier_owns: bool = True) -> Column:
+    """The classes that a report states, in capitals: the verifier's, else the
+    proposed one.  Where the scanner owns the class, the proposed one stays
+    unless the verifier's are of other families."""
+    named = F.transform(F.filter(F.coalesce(verified, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != ""), lambda c: F.upper(F.trim(c)))
+    own = F.upper(F.trim(F.coalesce(proposed, F.lit(""))))
+    alone = F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))
+    if verifier_owns:
+        return F.when(F.size(named) > 0, named).otherwise(alone)
+    other = (F.size(named) > 0) & ~F.arrays_overlap(C.families_of(named), C.families_of(alone))
+    return F.when((own == "") | other, named).otherwise(alone)
 
 
 def fallback_reason(n_hypotheses: Column, scanner_failed: Column, n_proposed: Column, n_findings: Column) -> Column:
-    """Why tool findings stand in for hypotheses, or ''."""
-    return F.when(n_findings == 0, "").when(scanner_failed, "scanner_failed").when((n_hypotheses == 0) & (n_proposed > 0), "all_echoes").when(n_proposed == 0, "declined").otherwise("")
+    """Why tool findings stand in for hypotheses, or '': only where no
+    hypothesis is left, first because the scanner failed, then because all that
+    it proposed were echoes, then because it declined what tools have flagged."""
+    return (
+        F.when(n_hypotheses > 0, "").when(scanner_failed, "scanner_failed").when(n_proposed > 0, "all_hypotheses_dropped_as_echoes")
+        .when(n_findings > 0, "scanner_declined_but_tools_flagged_the_file").otherwise("")
+    )
+
+
+def fallback_hypotheses(findings: DataFrame) -> DataFrame:
+    """Tool findings (file, ord, cwe, line, message, rule_id) as hypotheses T1,
+    T2, ... of their file, in the order of ord."""
+    w = Window.partitionBy("file").orderBy("ord")
+    claim = F.coalesce(F.nullif(F.col("message"), F.lit("")), F.lit("reported by a static tool"))
+    return findings.select("file", "ord", F.upper(F.trim(F.coalesce(F.try_element_at("cwe", F.lit(1)), F.lit("")))).alias("cwe"), "line", claim.alias("claim"), F.coalesce("rule_id", F.lit("")).alias("suspected_sink"), F.concat(F.lit("T"), F.row_number().over(w)).alias("id"))
+
+
+def contradiction(decision: Column, missing: Column) -> Column:
+    """What a confirmation lists as missing; other verdicts may list it."""
+    return F.when(decision == "CONFIRMED", F.coalesce(missing, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+
+
+def divergence_note(note: Column, proposed: Column, verified: Column, verifier_owns: bool = True) -> Column:
+    """The note, with a suffix where the verifier's classes share no family with
+    the proposed one."""
+    named = F.transform(F.filter(verified, lambda c: F.coalesce(c, F.lit("")) != ""), lambda c: F.upper(F.trim(c)))
+    apart = (F.coalesce(proposed, F.lit("")) != "") & (F.size(named) > 0) & ~F.arrays_overlap(C.families_of(named), C.families_of(F.array(proposed)))
+    owner = "reporting the verified class" if verifier_owns else "reporting the proposed class"
+    suffix = F.concat(F.lit(" [scanner proposed "), proposed, F.lit(", verifier read "), F.array_join(named, ", "), F.lit(f"; {owner}]"))
+    return F.when(apart, F.trim(F.concat(F.coalesce(note, F.lit("")), suffix))).otherwise(note)
 
 
 def latest_nonerror(records: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -118,9 +159,32 @@ def last_answer(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.where("error is null").groupBy(*keys).agg(F.max_by("answer", "call_index").alias("answer"))
 
 
+#: Kinds of failures by the name of the error, each with its own
+#: budget of tries; other errors, and replies that were cut off, are not tried again.
+FAILURE_KINDS = {"TimeoutError": "timeout", "ValueError": "parse", "JSONDecodeError": "parse", "UnicodeDecodeError": "parse", "RuntimeError": "transport"}
+
+
 def failure_kind_of_call(error: Column) -> Column:
-    e = F.lower(error)
-    return F.when(e.isNull() | (e == ""), "none").when(e.contains("timeout") | e.contains("timed out"), "timeout").when(e.contains("length") | e.contains("truncat"), "truncated").when(e.contains("json") | e.contains("pars"), "parse").otherwise("transport")
+    """timeout, parse, transport or none, of an error 'Name: message'."""
+    name = F.regexp_extract(F.coalesce(error, F.lit("")), r"^([A-Za-z_.]*?)([A-Za-z_]+)(?::|$)", 2)
+    out = F.lit("none")
+    for known, kind in FAILURE_KINDS.items():
+        out = F.when(name == known, F.lit(kind)).otherwise(out)
+    return out
+
+
+def may_retry(kind: Column, failures: Column, budgets: dict[str, int]) -> Column:
+    """Whether a call is tried again after so many failures of a kind."""
+    out = F.lit(False)
+    for name, most in budgets.items():
+        out = F.when(kind == name, failures < most).otherwise(out)
+    return out
+
+
+def backoff_delay(failures: Column, luck: Column) -> Column:
+    """Seconds to wait after so many failures: doubling from 2, at most 20,
+    times a number between a half and 1 that luck, in [0, 1), chooses."""
+    return F.least(F.lit(20.0), F.pow(F.lit(2.0), failures)) * (luck / 2 + 0.5)
 
 
 def merge_confirmed(decisions: DataFrame, radius: int = 5) -> DataFrame:
@@ -158,7 +222,11 @@ def merge_confirmed(decisions: DataFrame, radius: int = 5) -> DataFrame:
             best = max(group, key=lambda k: (pdf["confidence"][k], -(line(k) or 0), -k))
             lines = [line(k) for k in group if line(k) is not None]
             near = line(best) is not None and max(abs(x - line(best)) for x in lines) <= radius
-            classes = list(dict.fromkeys(c for k in [best, *[k for k in group if k != best]] for c in pdf["cwe"][k]))
+            spelled: dict[str, str] = {}  # each class once, in its first spelling
+            for k in sorted(group, key=lambda k: (k != best, k)):
+                for c in pdf["cwe"][k]:
+                    spelled.setdefault(c.upper(), c)
+            classes = list(spelled.values())
             rows.append((pdf["file"][0], int(pdf["ord"][best]), line(best) if near or len(group) == 1 else None, classes, float(pdf["confidence"][best]), len(group)))
         return pd.DataFrame(rows, columns=["file", "ord", "line", "cwe", "confidence", "merged"]).astype({"line": "Int64"})
 

@@ -62,7 +62,7 @@ QUERIES = {f.__name__: f for f in (code_facts, taint_chains, mitigation_rule, pa
 ORACLE_SQL = {
     "code_facts": "SELECT s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.c' END AS path, 1::BIGINT AS functions, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 4 END::BIGINT AS calls, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS assignments, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS imports, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS branch_count, false AS parse_has_errors FROM supplier",
     "taint_chains": "SELECT s_suppkey || '.py' AS path, 'CWE-78' AS cwe, 6 AS sink_line, 4 AS source_line, 'external-source' AS origin FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey || '.c', unnest(['CWE-120', 'CWE-120', 'CWE-78']), unnest([5, 6, 7]), unnest([4, 6, 7]), unnest(['external-source', 'parameter', 'parameter']) FROM supplier WHERE s_suppkey % 2 = 1",
-    "mitigation_rule": "SELECT category, rule AS mitigation_rule, count(*) AS n FROM (SELECT unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['command', 'path'] ELSE ['buffer', 'buffer', 'command'] END) AS category, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['', ''] ELSE ['', 'constant-length', ''] END) AS rule FROM supplier) GROUP BY 1, 2",
+    "mitigation_rule": "SELECT category, rule AS mitigation_rule, count(*) AS n FROM (SELECT unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['command_injection', 'path_traversal'] ELSE ['buffer_overflow', 'buffer_overflow', 'command_injection'] END) AS category, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['', ''] ELSE ['', 'constant-length', ''] END) AS rule FROM supplier) GROUP BY 1, 2",
     "pattern_match": "SELECT event_id, ['os.system', 'os.system', 'system', 'open', 'system'][event_id % 5 + 1] AS pattern FROM events",
     "strip_comments": "SELECT s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.c' END AS path, replace(CASE WHEN s_suppkey % 2 = 0 THEN concat('import os, sys', chr(10), chr(10), 'def bad{n}(path):', chr(10), '    name = sys.argv[1]  ', repeat(' ', 12), chr(10), '    cmd = ''ls '' + name', chr(10), '    os.system(cmd)', chr(10), '    return open(os.path.basename(path))', chr(10)) ELSE concat('#include <stdio.h>', chr(10), 'void copy{n}(char *src) {', chr(10), '  char dst[10]; ', repeat(' ', 9), chr(10), '  char *x = getenv(\"A\");', chr(10), '  strcpy(dst, x);', chr(10), '  memcpy(dst, src, {n});', chr(10), '  if (src) { system(src); }', chr(10), '}', chr(10)) END, '{n}', s_suppkey::VARCHAR) AS text FROM supplier",
     "repair_json": "SELECT event_id, 'say \"' || event_type || '\" now' AS a, event_id AS n FROM events",

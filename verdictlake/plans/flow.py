@@ -103,9 +103,9 @@ def resolved_class(spark, d):
 
 
 def fallback_reason(spark, d):
-    h = _hypotheses(spark, d).groupBy("file").agg(F.count_if(F.expr("status <> 'ERROR'")).alias("n"), F.count_if(F.expr("ord % 3 = 0")).alias("p"), F.expr("bool_or(ord % 997 = 0)").alias("failed"))
+    h = _hypotheses(spark, d).groupBy("file", F.col("cwe")[0].alias("class")).agg(F.count_if(F.expr("status = 'CONFIRMED'")).alias("n"), F.count_if(F.expr("ord % 3 = 0")).alias("p"), F.expr("bool_or(ord % 7 = 0)").alias("failed"))
     n = V.findings(spark, d).groupBy("file").agg(F.count("*").alias("f"))
-    return h.join(n, "file", "left").select("file", D.fallback_reason(F.col("n"), F.col("failed"), F.col("p"), F.coalesce("f", F.lit(0))).alias("reason"))
+    return h.join(n, "file", "left").select("file", "class", D.fallback_reason(F.col("n"), F.col("failed"), F.col("p"), F.coalesce("f", F.lit(0))).alias("reason"))
 
 
 def merge_confirmed(spark, d):
@@ -123,7 +123,7 @@ def last_answer(spark, d):
 
 
 def failure_kind_of_call(spark, d):
-    e = F.expr("element_at(array('Request timed out', 'finish_reason=length', 'no JSON', 'refused', ''), cast(event_id % 5 + 1 as int))")
+    e = F.expr("element_at(array('TimeoutError: 300 s', 'TruncatedResponse: cut off', 'json.JSONDecodeError: no JSON', 'RuntimeError: refused', 'KeyError: x'), cast(event_id % 5 + 1 as int))")
     return table(spark, d, "events").select("event_id", D.failure_kind_of_call(e).alias("kind"))
 
 
@@ -180,10 +180,10 @@ ORACLE_SQL = {
     "resolve_hedge": _with("preds", _V, f"SELECT ord, {_HEDGE} AS decision FROM ver"),
     "evidence_gate": _with("preds", _V, f"SELECT ord, {_GATE.format('WHEN mitigated THEN ' + repr('mitigated') + ' ')} AS reason FROM ver"),
     "resolved_class": _with("preds", _V, "SELECT ord, CASE WHEN ord % 2 = 0 THEN class WHEN ord % 3 = 0 THEN '' ELSE 'CWE-1' END AS class FROM ver"),
-    "fallback_reason": _with("preds findings", _H, "SELECT file, CASE WHEN f = 0 THEN '' WHEN failed THEN 'scanner_failed' WHEN n = 0 AND p > 0 THEN 'all_echoes' WHEN p = 0 THEN 'declined' ELSE '' END AS reason FROM (SELECT file, count_if(status <> 'ERROR') AS n, count_if(ord % 3 = 0) AS p, bool_or(ord % 997 = 0) AS failed, (SELECT count(*) FROM findings x WHERE x.file = hyp.file) AS f FROM hyp GROUP BY file)"),
+    "fallback_reason": _with("preds findings", _H, "SELECT file, class, CASE WHEN n > 0 THEN '' WHEN failed THEN 'scanner_failed' WHEN p > 0 THEN 'all_hypotheses_dropped_as_echoes' WHEN f > 0 THEN 'scanner_declined_but_tools_flagged_the_file' ELSE '' END AS reason FROM (SELECT c AS class, file, count_if(status = 'CONFIRMED') AS n, count_if(ord % 3 = 0) AS p, bool_or(ord % 7 = 0) AS failed, (SELECT count(*) FROM findings x WHERE x.file = hyp.file) AS f FROM hyp GROUP BY file, c)"),
     "latest_nonerror": sql("records", "SELECT sample_id, lineno, decision FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY decision = 'ERROR', lineno DESC) AS k FROM records) WHERE k = 1"),
     "last_answer": "SELECT conv_id, role, arg_max(md5(text), turn) AS answer FROM conversations WHERE turn % 5 <> 4 GROUP BY 1, 2",
-    "failure_kind_of_call": "SELECT event_id, ['timeout', 'truncated', 'parse', 'transport', 'none'][event_id % 5 + 1] AS kind FROM events",
+    "failure_kind_of_call": "SELECT event_id, ['timeout', 'none', 'parse', 'transport', 'none'][event_id % 5 + 1] AS kind FROM events",
     "replay_decisions": _with("preds", _V, f"SELECT class, CASE WHEN d = 'CONFIRMED' AND g <> '' THEN 'REJECTED' ELSE d END AS status, count(*) AS n FROM (SELECT class, {_HEDGE} AS d, {_GATE.format('')} AS g FROM ver) GROUP BY 1, 2"),
     "catalog_enrich": "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "catalog_validate": "SELECT 'unknown region' AS problem, n_name AS name FROM nation WHERE n_nationkey % 4 > 0 AND n_regionkey = 0 UNION ALL SELECT DISTINCT 'unknown nation', c_nationkey::VARCHAR FROM customer WHERE c_nationkey % 4 = 0",

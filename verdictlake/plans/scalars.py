@@ -30,8 +30,9 @@ def cwe_from_field(spark, d):
 
 
 def cwe_from_cell(spark, d):
-    cell = F.expr("'CWE-' || l_partkey || '!/CWE-' || l_suppkey || ', CWE-' || l_linenumber || '!'")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(C.cwe_from_cell(cell, prefixed=True), ",").alias("cwes"))
+    cell = F.expr("'CWE-0' || l_partkey || '!/CWE-' || l_suppkey || ', CWE-' || l_linenumber || '!'")
+    bare = F.expr("l_partkey || ' 0' || l_suppkey || ';cwe-' || l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(C.cwe_from_cell(cell, prefixed=True), ",").alias("cwes"), F.array_join(C.cwe_from_cell(bare), ",").alias("bare"))
 
 
 def clamp_confidence(spark, d):
@@ -181,7 +182,7 @@ ORACLE_SQL = {
     "canonical_cwe": "SELECT p_partkey, 'CWE-' || p_partkey AS cwe FROM part",
     "cwe_from_path": "SELECT page_id, CASE WHEN page_id % 7 = page_id THEN 'CWE-' || page_id ELSE 'CWE-' || page_id || ',CWE-' || page_id % 7 END AS cwes FROM pages",
     "cwe_from_field": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey = l_suppkey THEN 'CWE-' || l_partkey ELSE 'CWE-' || l_partkey || ',CWE-' || l_suppkey END || CASE WHEN l_linenumber IN (l_partkey, l_suppkey) THEN '' ELSE ',CWE-' || l_linenumber END AS cwes FROM lineitem",
-    "cwe_from_cell": "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(['CWE-' || l_partkey, 'CWE-' || l_suppkey, 'CWE-' || l_linenumber])), ',') AS cwes FROM lineitem",
+    "cwe_from_cell": "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(['CWE-' || l_partkey, 'CWE-' || l_suppkey, 'CWE-' || l_linenumber])), ',') AS cwes, array_to_string(list_sort(list_distinct(['CWE-' || l_partkey, 'CWE-' || l_suppkey, 'CWE-' || l_linenumber])), ',') AS bare FROM lineitem",
     "clamp_confidence": "SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN least(1, greatest(0, value / 100)) WHEN 4 THEN 0.5 ELSE 0 END, 9)::DOUBLE AS confidence FROM events",
     "parse_location": "SELECT event_id, coalesce(CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id > 0 THEN user_id END WHEN 3 THEN CASE WHEN user_id > 50 THEN user_id - 50 END END, -1)::INTEGER AS line FROM events",
     "path_markers": "SELECT page_id, list_has_any(regexp_split_to_array(lower(url), '[^a-z]+'), ['the', 'page', 'fr', 'bad']) AS hit FROM pages",
@@ -195,7 +196,7 @@ ORACLE_SQL = {
     "sanitize_identifiers": "SELECT event_id, 'void sym_' || sha1('badSink' || event_id)[:6] || '(int x) { sym_' || sha1('good' || user_id)[:6] || '(); embad(x); OMITBAD }' AS text FROM events",
     "first_sink_line": "SELECT doc_id, min(n)::INTEGER AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE NOT regexp_matches(trim(line), '^($|#|//|/\\*|\\*)') AND (contains(line, 'MIT') OR contains(line, 'Apache')) GROUP BY 1",
     "code_line_filter": "SELECT doc_id, count(*) AS code_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(trim(line), '^($|#|//|/\\*|\\*)') GROUP BY 1",
-    "context_window": "SELECT doc_id, md5(array_to_string(list_transform(range(a, b + 1), lambda i: lpad(i::VARCHAR, 6, ' ') || ': ' || l[i]), chr(10))) AS context FROM (SELECT doc_id, l, CASE WHEN n IS NULL THEN 1 ELSE greatest(1, n - 2) END AS a, least(len(l), CASE WHEN n IS NULL THEN 5 ELSE n + 2 END) AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS l, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 5 + 1 END AS n FROM documents))",
+    "context_window": "SELECT doc_id, md5(array_to_string(list_transform(range(a, b + 1), lambda i: CASE WHEN n IS NULL THEN '' ELSE lpad(i::VARCHAR, 6, ' ') || ': ' END || l[i]), chr(10))) AS context FROM (SELECT doc_id, l, n, CASE WHEN n IS NULL THEN 1 ELSE greatest(1, n - 2) END AS a, least(len(l), CASE WHEN n IS NULL THEN 5 ELSE n + 2 END) AS b FROM (SELECT doc_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS l, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 5 + 1 END AS n FROM documents))",
     "render_chain": "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus || ':' || l_linenumber, ' -> ' ORDER BY l_linenumber, l_returnflag || l_linestatus || ':' || l_linenumber) || ' -> SINK' AS chain FROM lineitem GROUP BY 1",
     "skip_empty": "SELECT role, count(*) AS n FROM conversations WHERE turn % 4 <> 1 AND regexp_matches(text, '\\S') GROUP BY 1",
     "cwe_filter": sql("samples", "SELECT sample_id, vulnerable FROM samples WHERE NOT vulnerable OR c IN ('CWE-122', 'CWE-78')"),
@@ -208,7 +209,7 @@ ORACLE_SQL = {
     "dedup_first": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
     "unique_ids": sql("records", "SELECT lineno AS ord, sample_id || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY lineno) AS n FROM records)"),
     "stratified_subset": sql("samples", "SELECT sample_id FROM (SELECT *, row_number() OVER (PARTITION BY c, vulnerable ORDER BY sha256('7|' || sample_id), ord) AS n FROM samples) WHERE n <= 5"),
-    "balanced_sample": sql("samples", "SELECT sample_id, vulnerable FROM (SELECT *, row_number() OVER (PARTITION BY vulnerable ORDER BY sha256('7|' || sample_id), ord) AS n FROM samples) WHERE n <= least(31, (SELECT least(count_if(vulnerable), count_if(NOT vulnerable)) FROM samples)) ORDER BY sha256('8|' || sample_id), ord LIMIT 61"),
+    "balanced_sample": sql("samples", "SELECT sample_id, vulnerable FROM (SELECT *, row_number() OVER (PARTITION BY vulnerable ORDER BY sha256('7|' || sample_id), ord) AS n FROM samples) WHERE n <= least(CASE WHEN vulnerable THEN 31 ELSE 30 END, (SELECT least(count_if(vulnerable), count_if(NOT vulnerable)) FROM samples))"),
     "top_cwes": sql("samples", "SELECT c AS class, count(*) AS n FROM samples GROUP BY 1 ORDER BY n DESC, class LIMIT 5"),
     "union_variants": sql("samples", "SELECT sample_id || '_good' AS variant_id, false AS label FROM samples UNION ALL SELECT sample_id || '_bad', true FROM samples WHERE vulnerable"),
     "missing_samples": sql("samples records", "SELECT sample_id FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM records)"),

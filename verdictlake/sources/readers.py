@@ -160,7 +160,7 @@ def bandit(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Ids of a checker that speak of its own run.
-CPPCHECK_NOISE = ("missingInclude", "missingIncludeSystem", "checkersReport", "unmatchedSuppression", "toomanyconfigs", "syntaxError", "preprocessorErrorDirective", "unknownMacro", "internalAstError")
+CPPCHECK_NOISE = ("missingInclude", "missingIncludeSystem", "checkersReport", "unmatchedSuppression", "preprocessorErrorDirective", "syntaxError", "unknownMacro", "badMacro", "unhandledException")
 
 
 def cppcheck(spark: SparkSession, path: str) -> DataFrame:
