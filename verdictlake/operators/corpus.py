@@ -4,6 +4,8 @@ Rows carry ord, their place in the input, wherever order matters."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdictlake.functions import columns as C
@@ -41,7 +43,17 @@ def per_class_counts(df: DataFrame) -> DataFrame:
 
 
 def manifest_digest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the ascending ids, one a line."""
+    """First 16 hex digits of the SHA-256 of the ascending ids, one a line.
+
+    A digest of one text is made from its beginning to its end: over the whole
+    table the sorted ids stream through the driver, a part at a time, and none
+    is kept; by groups each is an aggregate of its ids."""
+    if not by:
+        digest, n = hashlib.sha256(), 0
+        for row in df.select("sample_id").where("sample_id is not null").orderBy("sample_id").toLocalIterator():
+            digest.update(("\n" if n else "").encode() + row["sample_id"].encode())
+            n += 1
+        return df.sparkSession.createDataFrame([(digest.hexdigest()[:16], df.count())], "digest string, n long")
     text = F.array_join(F.sort_array(F.collect_list("sample_id")), "\n")
     return df.groupBy(*(by or [])).agg(F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("digest"), F.count("*").alias("n"))
 

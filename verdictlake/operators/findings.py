@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlake import vocab
 from verdictlake.functions import columns as C
+from verdictlake.operators.streams import fold_groups
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -63,41 +63,28 @@ def correlate(df: DataFrame, tolerance: int = 2) -> DataFrame:
     file, null or empty, stand alone, each numbered by its ord.
     """
 
-    def one_file(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        groups: list[list[tuple]] = []
-        by_class: dict = {}  # (function, class) -> groups
-        by_line: dict = {}  # (line, class or rule) -> groups
-        numbers = []
-        for o, line, cwes, rule, fn in zip(pdf["ord"], pdf["line"], pdf["cwe"], pdf["rule_id"], pdf["function"]):
-            has_line = line is not None and not pd.isna(line)
-            has_fn = isinstance(fn, str)
-            marks = [("c", c) for c in cwes] + [("r", rule.split(".")[0])]
-            near = set()
-            if has_fn:
-                for c in cwes:
-                    near |= by_class.get((fn, c), set())
-            if has_line:
-                for step in range(-tolerance, tolerance + 1):
-                    for m in marks:
-                        near |= by_line.get((int(line) + step, m), set())
-            g = min(near) if near else len(groups)
-            if g == len(groups):
-                groups.append([])
-            groups[g].append(o)
-            if has_fn:
-                for c in cwes:
-                    by_class.setdefault((fn, c), set()).add(g)
-            if has_line:
-                for m in marks:
-                    by_line.setdefault((int(line), m), set()).add(g)
-            numbers.append(g)
-        return pd.DataFrame({"file": pdf["file"], "ord": pdf["ord"], "group": numbers})
-
     rows = df.select("file", "ord", "line", "cwe", "rule_id", "function")
     placed = F.coalesce(F.col("file") != "", F.lit(False))
     alone = rows.where(~placed).select("file", F.col("ord").cast("long").alias("ord"), F.col("ord").cast("long").alias("group"))
-    return rows.where(placed).groupBy("file").applyInPandas(one_file, "file string, ord long, group long").unionAll(alone)
+
+    def step(groups: dict, row: tuple) -> list[tuple]:
+        """groups: the groups that each mark has been seen in, and how many."""
+        file, o, line, cwes, rule, fn = row
+        marks = [("class", c) for c in cwes or ()] + [("rule", (rule or "").split(".")[0])]
+        here = [(fn, m) for m in marks[:-1]] if fn is not None else []
+        near = [groups[m] for m in here if m in groups]
+        if line is not None:
+            near += [groups[line + k, m] for k in range(-tolerance, tolerance + 1) for m in marks if (line + k, m) in groups]
+        if near:
+            g = min(near)
+        else:
+            g = groups["n"] = groups.get("n", -1) + 1
+        # of the groups with a mark only the first can be joined
+        for m in here + ([(line, m) for m in marks] if line is not None else []):
+            groups[m] = min(g, groups.get(m, g))
+        return [(file, o, g)]
+
+    return fold_groups(rows.where(placed), ["file"], ["ord"], dict, step, "file string, ord long, group long").unionAll(alone)
 
 
 def group_summary(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -109,6 +96,7 @@ def group_summary(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def group_members(groups: DataFrame, findings: DataFrame) -> DataFrame:
-    """The findings whose fingerprint a group lists."""
-    listed = groups.select("group_id", F.explode("fingerprints").alias("fingerprint"))
+    """The findings whose fingerprint a group lists: groups (group_id,
+    fingerprints array), or a row for each fingerprint of a group."""
+    listed = groups.select("group_id", F.explode("fingerprints").alias("fingerprint")) if "fingerprints" in groups.columns else groups.select("group_id", "fingerprint")
     return listed.join(findings, "fingerprint")

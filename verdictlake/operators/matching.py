@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlake.functions import columns as C
+from verdictlake.operators.streams import fold_groups
 
 
 @dataclass(frozen=True)
@@ -36,22 +36,21 @@ def candidates(predictions: DataFrame, truth: DataFrame, config: MatchConfig = M
 def greedy(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Candidates taken best first: by score, then the larger pi, then gi, if
     neither side is taken.  Pairs of different base names never compete, so each
-    base name (within `by`) is a group of its own."""
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pi", "gi"], ascending=False, kind="stable")
-        used_p: set = set()
-        used_g: set = set()
-        keep = []
-        for pi, gi in zip(pdf["pi"], pdf["gi"]):
-            ok = pi not in used_p and gi not in used_g
-            if ok:
-                used_p.add(pi)
-                used_g.add(gi)
-            keep.append(ok)
-        return pdf[keep]
-
-    return found.groupBy(*by, "base").applyInPandas(take, found.schema)
+    base name (within `by`) is a group of its own; of its pairs only the sides
+    that are taken are held."""
+    keys = [*by, "base"]
+    columns = [*keys, *(c for c in found.columns if c not in keys)]
+    pi, gi = columns.index("pi"), columns.index("gi")
+
+    def step(taken: tuple[set, set], row: tuple) -> list[tuple]:
+        if row[pi] in taken[0] or row[gi] in taken[1]:
+            return []
+        taken[0].add(row[pi])
+        taken[1].add(row[gi])
+        return [row]
+
+    picked = fold_groups(found.select(*columns), keys, [F.desc("score"), F.desc("pi"), F.desc("gi")], lambda: (set(), set()), step, found.select(*columns).schema)
+    return picked.select(*found.columns)
 
 
 @dataclass

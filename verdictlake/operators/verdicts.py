@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdictlake import vocab
 from verdictlake.functions import columns as C
+from verdictlake.operators.streams import fold_groups
 
 
 def echo_antijoin(hypotheses: DataFrame, findings: DataFrame) -> DataFrame:
@@ -47,27 +49,31 @@ def claim_sites(claims: DataFrame, radius: int = 5) -> DataFrame:
     first site whose first line is at most `radius` away, or that has none; one
     without a line joins the first site."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        heads: list = []
-        out = []
-        for line in pdf["line"]:
-            none = pd.isna(line)
-            at = next((k for k, h in enumerate(heads) if none or h is None or abs(line - h) <= radius), None)
-            if at is None:
-                at = len(heads)
-                heads.append(None if none else line)
-            out.append(at)
-        return pd.DataFrame({"file": pdf["file"], "claim": pdf["claim"], "ord": pdf["ord"], "site": out})
 
-    return claims.select("file", "claim", "ord", "line").groupBy("file", "claim").applyInPandas(one, "file string, claim int, ord long, site long")
+    def step(sites: dict, row: tuple) -> list[tuple]:
+        """sites: the first site near each line; under None the first one that
+        has no line, and so is near all; n: how many there are."""
+        file, claim, o, line = row
+        n = sites.get("n", 0)
+        found = [s for s in (sites.get(line), sites.get(None)) if s is not None]
+        if line is None:
+            at = 0 if n else None
+        else:
+            at = min(found, default=None)
+        if at is None:
+            at, sites["n"] = n, n + 1
+            for near in [None] if line is None else range(line - radius, line + radius + 1):
+                sites.setdefault(near, at)
+        return [(file, claim, o, at)]
+
+    return fold_groups(claims.select("file", "claim", "ord", "line"), ["file", "claim"], ["ord"], dict, step, "file string, claim int, ord long, site long")
 
 
 def until_first_confirmed(sites: DataFrame, scope: list[str]) -> DataFrame:
-    """Rows of each scope up to its first confirmed one."""
-    before = Window.partitionBy(*scope).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max((F.col("status") == "CONFIRMED").cast("int")).over(before), F.lit(0))
-    return sites.withColumn("__seen", seen).where("__seen = 0").drop("__seen")
+    """Rows of each scope up to its first confirmed one, which an aggregate
+    with partial sums finds."""
+    first = sites.where("status = 'CONFIRMED'").groupBy(*scope).agg(F.min("ord").alias("__first"))
+    return sites.join(first, scope, "left").where("__first is null or ord <= __first").drop("__first")
 
 
 def top_n(df: DataFrame, scope: list[str], n: int) -> DataFrame:
@@ -194,40 +200,45 @@ def merge_confirmed(decisions: DataFrame, radius: int = 5) -> DataFrame:
     and its line only where all are within the radius of it."""
     cols = decisions.where("status = 'CONFIRMED' and size(cwe) > 0").withColumn("families", C.families_of("cwe"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        parent = list(range(len(pdf)))
+    def finish(rows: list[tuple]) -> list[tuple]:
+        """Linked through what they share: rows of one family through the
+        family, lines through their neighbours in order."""
+        parent: dict = {}
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
+        def root(x):
+            while parent.setdefault(x, x) != x:
                 x = parent[x]
             return x
 
-        # rows of one family are linked through its first; lines through their order
-        first: dict = {}
-        for k, fams in enumerate(pdf["families"]):
-            for f in fams:
-                parent[root(k)] = root(first.setdefault(f, k))
-        placed = sorted((int(x), k) for k, x in enumerate(pdf["line"]) if not pd.isna(x))
-        for (a, i), (b, j) in zip(placed, placed[1:]):
+        def link(a, b) -> None:
+            parent[root(a)] = root(b)
+
+        for k, row in enumerate(rows):
+            for f in row[5]:
+                link(k, f)
+        placed = sorted((row[2], k) for k, row in enumerate(rows) if row[2] is not None)
+        for (a, i), (b, j) in itertools.pairwise(placed):
             if b - a <= radius:
-                parent[root(j)] = root(i)
-        members: dict[int, list[int]] = {}
-        for k in range(len(pdf)):
-            members.setdefault(root(k), []).append(k)
-        rows = []
-        for group in members.values():
-            line = lambda k: None if pd.isna(pdf["line"][k]) else int(pdf["line"][k])
-            best = max(group, key=lambda k: (pdf["confidence"][k], -(line(k) or 0), -k))
-            lines = [line(k) for k in group if line(k) is not None]
-            near = line(best) is not None and max(abs(x - line(best)) for x in lines) <= radius
+                link(i, j)
+        groups: dict = {}
+        for k, row in enumerate(rows):
+            groups.setdefault(root(k), []).append(row)
+        out = []
+        for members in groups.values():
+            best = max(members, key=lambda r: (r[4], -(r[2] or 0)))  # the first of equals
+            file, o, line, _, confidence, _ = best
+            lines = [r[2] for r in members if r[2] is not None]
+            if len(members) > 1 and line is not None and max(abs(x - line) for x in lines) > radius:
+                line = None
             spelled: dict[str, str] = {}  # each class once, in its first spelling
-            for k in sorted(group, key=lambda k: (k != best, k)):
-                for c in pdf["cwe"][k]:
+            for r in [best, *(r for r in members if r is not best)]:
+                for c in r[3]:
                     spelled.setdefault(c.upper(), c)
-            classes = list(spelled.values())
-            rows.append((pdf["file"][0], int(pdf["ord"][best]), line(best) if near or len(group) == 1 else None, classes, float(pdf["confidence"][best]), len(group)))
-        return pd.DataFrame(rows, columns=["file", "ord", "line", "cwe", "confidence", "merged"]).astype({"line": "Int64"})
+            out.append((file, o, line, list(spelled.values()), confidence, len(members)))
+        return out
+
+    def step(rows: list[tuple], row: tuple) -> list[tuple]:
+        rows.append(row)
+        return []
 
-    return cols.select("file", "ord", "line", "cwe", "confidence", "families").groupBy("file").applyInPandas(one, "file string, ord long, line long, cwe array<string>, confidence double, merged long")
+    return fold_groups(cols.select("file", "ord", "line", "cwe", "confidence", "families"), ["file"], ["ord"], list, step, "file string, ord long, line long, cwe array<string>, confidence double, merged long", finish)

@@ -42,7 +42,7 @@ def correlate_findings(spark, d):
 
 def group_members(spark, d):
     f = V.tools(V.findings(spark, d))
-    g = f.groupBy(F.col("file").alias("group_id")).agg(F.slice(F.array_sort(F.collect_set("fingerprint")), 1, 3).alias("fingerprints"))
+    g = f.select(F.col("file").alias("group_id"), "fingerprint").distinct()
     return N.group_members(g, f.select("fingerprint", "ord")).select("group_id", "fingerprint", "ord")
 
 
@@ -55,7 +55,7 @@ def echo_antijoin(spark, d):
 
 
 def near_or_all(spark, d):
-    asked = _hypotheses(spark, d).where("ord % 100 < 40").select(F.col("ord").alias("id"), "file", "line")
+    asked = _hypotheses(spark, d).select(F.col("ord").alias("id"), "file", "line")
     ev = V.functions_of(spark, d).select("file", F.col("start_line").alias("line"), F.col("ord").alias("chain"))
     return D.near_or_all(ev, asked, 12).select("id", "chain")
 
@@ -136,22 +136,7 @@ def replay_decisions(spark, d):
     return decided.groupBy("class", final.alias("status")).agg(F.count("*").alias("n"))
 
 
-def catalog_enrich(spark, d):
-    """Dimension lookup: a nation's region beside each customer's count."""
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    return c.join(n, "n_nationkey", "left").select("n_name", "r_name", "customers")
-
-
-def catalog_validate(spark, d):
-    """Dangling references either way."""
-    n, r = table(spark, d, "nation").where("n_nationkey % 4 > 0"), table(spark, d, "region").where("r_regionkey > 0")
-    a = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_anti").select(F.lit("unknown region").alias("problem"), F.col("n_name").alias("name"))
-    c = table(spark, d, "customer").select("c_nationkey").distinct().join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")
-    return a.unionByName(c.select(F.lit("unknown nation").alias("problem"), F.col("c_nationkey").cast("string").alias("name")))
-
-
-QUERIES = {f.__name__: f for f in (dedup_findings, enclosing_function, first_function, canonical_member, correlate_findings, group_members, echo_antijoin, near_or_all, nearest_chain, claim_groups, claim_sites, until_first_confirmed, topn_per_group, resolve_hedge, evidence_gate, resolved_class, fallback_reason, merge_confirmed, latest_nonerror, last_answer, failure_kind_of_call, replay_decisions, catalog_enrich, catalog_validate)}
+QUERIES = {f.__name__: f for f in (dedup_findings, enclosing_function, first_function, canonical_member, correlate_findings, group_members, echo_antijoin, near_or_all, nearest_chain, claim_groups, claim_sites, until_first_confirmed, topn_per_group, resolve_hedge, evidence_gate, resolved_class, fallback_reason, merge_confirmed, latest_nonerror, last_answer, failure_kind_of_call, replay_decisions)}
 
 _H = "hyp AS (SELECT ord, (ord % 100 + 1) || '.c' AS file, line, c, CASE WHEN ord % 11 = 0 THEN '' ELSE c END AS class, status, confidence FROM preds)"
 _V = "ver AS (SELECT ord, CASE WHEN status = 'ERROR' THEN 'UNCERTAIN' ELSE status END AS decision, status <> 'ERROR' AS usable, ord % 3 > 0 AS verified, confidence, ord % 7 = 0 AS missing, c AS class, ord % 4 AS n_proven, ord % 5 = 0 AS silent, ord % 6 = 0 AS mitigated FROM preds)"
@@ -170,11 +155,13 @@ ORACLE_SQL = {
     "enclosing_function": _with("findings funcs", _PLACES, "SELECT p.ord, arg_min(name, (end_line - start_line) * 10 + f.ord) AS function FROM places p JOIN funcs f ON p.file = f.file AND line BETWEEN start_line AND end_line GROUP BY 1"),
     "first_function": _with("findings funcs", _PLACES, "SELECT p.ord, arg_min(name, f.ord) AS function FROM places p JOIN funcs f ON p.file = f.file AND line BETWEEN start_line AND end_line GROUP BY 1"),
     "canonical_member": sql("findings", "SELECT file, tool, line, severity FROM (SELECT *, row_number() OVER (PARTITION BY file, tool ORDER BY CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 0 END DESC, line, ord) AS k FROM findings) WHERE k = 1"),
-    "group_members": sql("findings", "").rstrip() + ", t AS (SELECT *, sha256(tool || '|' || rule_id || '|' || file || '|' || CASE WHEN line = 0 THEN '' ELSE line::VARCHAR END || '|' || trim(message)) AS fingerprint FROM findings), g AS (SELECT file AS group_id, fingerprint FROM (SELECT file, fingerprint, row_number() OVER (PARTITION BY file ORDER BY fingerprint) AS k FROM (SELECT DISTINCT file, fingerprint FROM t)) WHERE k <= 3) SELECT group_id, fingerprint, ord FROM g JOIN t USING (fingerprint)",
+    "group_members": sql("findings", "").rstrip() + ", t AS (SELECT *, sha256(tool || '|' || rule_id || '|' || file || '|' || CASE WHEN line = 0 THEN '' ELSE line::VARCHAR END || '|' || trim(message)) AS fingerprint FROM findings), g AS (SELECT DISTINCT file AS group_id, fingerprint FROM t) SELECT group_id, fingerprint, ord FROM g JOIN t USING (fingerprint)",
     "echo_antijoin": _with("preds findings", _H, "SELECT ord FROM hyp h WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.file = h.file AND f.line = h.line AND f.c = h.c)"),
-    "near_or_all": _with("preds funcs", _H, ", pairs AS (SELECT h.ord AS id, f.ord AS chain, abs(f.start_line - h.line) <= 12 AS near FROM hyp h JOIN funcs f USING (file) WHERE h.ord % 100 < 40) SELECT id, chain FROM (SELECT *, bool_or(near) OVER (PARTITION BY id) AS n FROM pairs) WHERE near OR NOT n"),
+    "near_or_all": _with("preds funcs", _H, ", pairs AS (SELECT h.ord AS id, f.ord AS chain, abs(f.start_line - h.line) <= 12 AS near FROM hyp h JOIN funcs f USING (file)) SELECT id, chain FROM (SELECT *, bool_or(near) OVER (PARTITION BY id) AS n FROM pairs) WHERE near OR NOT n"),
     "nearest_chain": _with("preds funcs", _H, "SELECT h.ord AS id, arg_min(f.ord, abs(end_line - line) * 10 + f.ord)::INTEGER AS chain FROM hyp h JOIN funcs f USING (file) GROUP BY 1"),
     "claim_groups": _with("preds", _H, ", k AS (SELECT *, CASE WHEN class = '' THEN '0' || ord ELSE class END AS key FROM hyp), f AS (SELECT file, key, row_number() OVER (PARTITION BY file ORDER BY min(ord)) AS claim FROM k GROUP BY file, key) SELECT ord, claim::INTEGER AS claim FROM k JOIN f USING (file, key)"),
+    "claim_sites": _with("preds", _H, ", k AS (SELECT *, CASE WHEN class = '' THEN '0' || ord ELSE class END AS key FROM hyp), r AS (SELECT ord, line, file, key, row_number() OVER (PARTITION BY file, key ORDER BY ord) AS n FROM k), walk(file, key, n, ord, heads, site) AS (SELECT DISTINCT file, key, 0::BIGINT, NULL::BIGINT, []::INTEGER[], NULL::BIGINT FROM r UNION ALL SELECT file, key, n, ord, CASE WHEN hit > 0 THEN heads ELSE list_append(heads, line) END, CASE WHEN hit > 0 THEN hit - 1 ELSE len(heads) END::BIGINT FROM (SELECT r.*, heads, coalesce(list_position(list_transform(heads, lambda h: r.line IS NULL OR h IS NULL OR abs(r.line - h) <= 5), true), 0) AS hit FROM walk w JOIN r ON r.file = w.file AND r.key = w.key AND r.n = w.n + 1)) SELECT ord, site FROM walk WHERE n > 0"),
+    "merge_confirmed": _with("fam preds", _H, ", c AS (SELECT ord, file, line, fs FROM hyp JOIN fam USING (c) WHERE status = 'CONFIRMED'), e AS (SELECT a.file, a.ord AS a, b.ord AS b FROM c a JOIN c b USING (file) WHERE list_has_any(a.fs, b.fs) OR abs(a.line - b.line) <= 5), reach(file, a, b) AS (SELECT file, a, b FROM e UNION SELECT r.file, r.a, e.b FROM reach r JOIN e ON e.a = r.b), root AS (SELECT file, a, min(b) AS r FROM reach GROUP BY 1, 2) SELECT file, count(DISTINCT r) AS kept, count(*)::BIGINT AS decisions FROM root GROUP BY 1"),
     "until_first_confirmed": _with("preds", _H, "SELECT ord FROM (SELECT ord, max((status = 'CONFIRMED')::INT) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM hyp) WHERE coalesce(s, 0) = 0"),
     "topn_per_group": _with("preds", _H, "SELECT * FROM (SELECT ord, row_number() OVER (PARTITION BY file ORDER BY ord)::INTEGER AS place, count(*) OVER (PARTITION BY file) > 12 AS truncated FROM hyp) WHERE place <= 12"),
     "resolve_hedge": _with("preds", _V, f"SELECT ord, {_HEDGE} AS decision FROM ver"),
@@ -185,6 +172,4 @@ ORACLE_SQL = {
     "last_answer": "SELECT conv_id, role, arg_max(md5(text), turn) AS answer FROM conversations WHERE turn % 5 <> 4 GROUP BY 1, 2",
     "failure_kind_of_call": "SELECT event_id, ['timeout', 'none', 'parse', 'transport', 'none'][event_id % 5 + 1] AS kind FROM events",
     "replay_decisions": _with("preds", _V, f"SELECT class, CASE WHEN d = 'CONFIRMED' AND g <> '' THEN 'REJECTED' ELSE d END AS status, count(*) AS n FROM (SELECT class, {_HEDGE} AS d, {_GATE.format('')} AS g FROM ver) GROUP BY 1, 2"),
-    "catalog_enrich": "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
-    "catalog_validate": "SELECT 'unknown region' AS problem, n_name AS name FROM nation WHERE n_nationkey % 4 > 0 AND n_regionkey = 0 UNION ALL SELECT DISTINCT 'unknown nation', c_nationkey::VARCHAR FROM customer WHERE c_nationkey % 4 = 0",
 }

@@ -20,7 +20,7 @@ def miss_decomposition(spark, d):
     truth = V.samples(spark, d)
     e = M.evaluate(V.confirmed(spark, d), truth)
     detected = e.matches.select(F.col("p_sample").alias("sample_id"))
-    reports = V.predictions(spark, d).where("ord % 2 = 0 or status = 'CONFIRMED'").groupBy("sample_id").agg(F.expr("bool_or(ord % 3 = 0)").alias("has_findings"), F.expr("collect_set(case when status <> 'ERROR' and (ord % 5 > 0 or status = 'CONFIRMED') then status end)").alias("statuses"))
+    reports = V.predictions(spark, d).groupBy("sample_id").agg(F.expr("bool_or(ord % 3 = 0)").alias("has_findings"), F.expr("collect_set(case when status <> 'ERROR' and (ord % 5 > 0 or status = 'CONFIRMED') then status end)").alias("statuses"))
     return O.miss_decomposition(truth, detected, reports).withColumn("label", F.coalesce("label", F.lit("total")))
 
 
@@ -131,7 +131,7 @@ cand AS (SELECT policy, p.ord AS pi, g.ord AS gi, 0.65::DOUBLE + CASE WHEN g.lin
 m AS (SELECT policy, count(DISTINCT gi) AS tp FROM cand GROUP BY 1),
 k AS (SELECT policy, count(*) AS n, count(DISTINCT CASE WHEN NOT vulnerable THEN sample_id END) AS flagged FROM kept JOIN samples USING (sample_id) GROUP BY 1)
 """, "SELECT policy, coalesce(tp, 0) AS tp, n - coalesce(tp, 0) AS fp, round(coalesce(tp, 0) / n, 9) AS precision, round(coalesce(tp, 0) / (SELECT count_if(vulnerable) FROM samples), 9) AS recall, round(flagged / (SELECT count_if(NOT vulnerable) FROM samples), 9) AS benign_flag_rate FROM k LEFT JOIN m USING (policy)"),
-    "miss_decomposition": _with(MATCHED, """, rep AS (SELECT sample_id, bool_or(ord % 3 = 0) AS has, list_distinct(list(CASE WHEN status <> 'ERROR' AND (ord % 5 > 0 OR status = 'CONFIRMED') THEN status END) FILTER (WHERE status <> 'ERROR' AND (ord % 5 > 0 OR status = 'CONFIRMED'))) AS st FROM preds WHERE ord % 2 = 0 OR status = 'CONFIRMED' GROUP BY 1),
+    "miss_decomposition": _with(MATCHED, """, rep AS (SELECT sample_id, bool_or(ord % 3 = 0) AS has, list_distinct(list(CASE WHEN status <> 'ERROR' AND (ord % 5 > 0 OR status = 'CONFIRMED') THEN status END) FILTER (WHERE status <> 'ERROR' AND (ord % 5 > 0 OR status = 'CONFIRMED'))) AS st FROM preds GROUP BY 1),
 t AS (SELECT s.c, CASE WHEN s.sample_id IN (SELECT p_sample FROM matches) THEN 'matched' WHEN rep.sample_id IS NULL THEN 'no_report' WHEN coalesce(len(st), 0) = 0 AND NOT has THEN 'candidate_ceiling' WHEN coalesce(len(st), 0) = 0 THEN 'agent_silent' WHEN list_contains(st, 'CONFIRMED') THEN 'confirmed_unmatched' WHEN list_contains(st, 'UNCERTAIN') THEN 'dropped_uncertain' ELSE 'dropped_rejected' END AS b FROM samples s LEFT JOIN rep USING (sample_id) WHERE vulnerable)
 """, "SELECT coalesce(c, 'total') AS label, " + ", ".join(f"count_if(b = '{b}')::BIGINT AS {b}" for b in O.BUCKETS) + ", count(*) AS positives FROM t GROUP BY ROLLUP (c)"),
     "triage_queue": sql("preds", "SELECT ord, row_number() OVER (ORDER BY confidence DESC, sample_id, line::VARCHAR, ord) AS rank FROM preds WHERE status = 'UNCERTAIN'"),

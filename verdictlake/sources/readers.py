@@ -227,3 +227,120 @@ def write_manifest(df: DataFrame, path: str) -> None:
 def write_ranked(df: DataFrame, path: str, by: str = "result") -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 
+
+
+# -- manifests and corpora
+
+
+def dataset_root(spark: SparkSession, path: str) -> str:
+    """The folder that a manifest's relative files are under: dataset.root where
+    it is there, else the manifest's own."""
+    named = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.dataset.root").alias("r")).first()["r"]
+    if named:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return named.rstrip("/")
+    return path.rsplit("/", 1)[0] if "/" in path else "."
+
+
+def sample(rows: DataFrame, sample_id: str) -> DataFrame:
+    """The sample of an id; of several the last."""
+    return rows.where(F.col("sample_id") == sample_id).orderBy(F.desc("ord")).limit(1)
+
+
+def languages(rows: DataFrame) -> DataFrame:
+    return rows.where("language <> ''").select("language").distinct().orderBy("language")
+
+
+def manifest_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: samples, vulnerable ones, languages; zeros and none for what
+    cannot be read."""
+    item = "array<struct<vulnerable:boolean, language:string>>"
+    rows = F.coalesce(F.from_json("value", f"struct<samples:{item}>")["samples"], F.from_json("value", item))
+    texts = spark.read.text(path, wholetext=True).select(F.explode(rows).alias("s")).select("s.*")
+    return texts.agg(F.count("*").alias("samples"), F.count_if(F.coalesce("vulnerable", F.lit(False))).alias("vulnerable"), F.sort_array(F.collect_set(F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown")))).alias("languages"))
+
+
+def devign(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Functions with a target and no class."""
+    return functions_corpus(df, "func", "target", None, "devign", wanted)
+
+
+def big_vul(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Functions before their fix, with class and label."""
+    return functions_corpus(df, "func_before", "vul", "CWE ID", "bigvul", wanted)
+
+
+def reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(reports, unreadable texts) of a folder, whatever its depth: documents in
+    .json, lines in .jsonl."""
+    from verdictlake.operators import reports as R
+
+    read = lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), "value")
+    a, b = R.scan(read("*.json", True)), R.scan(read("*.jsonl", False), lines=True)
+    return a[0].unionByName(b[0]), a[1].unionByName(b[1])
+
+
+def write_samples(rows: DataFrame, folder: str) -> DataFrame:
+    """Write each selected sample (sample_id, variant, text, language) to a file
+    of its own; sample_id and file, relative to the folder.
+
+    The name is the id and a hash of what is stored, so a task that is run
+    again writes the same file.  Sources stay columns wherever a table will do."""
+    import pandas as pd
+
+    suffix = {"python": ".py", "cpp": ".cpp"}
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        for pdf in batches:
+            names = []
+            fs.create_dir(base)
+            for ident, variant, text, language in zip(pdf["sample_id"], pdf["variant"], pdf["text"], pdf["language"]):
+                stem = "".join(c if c.isalnum() and c.isascii() or c in "._-" else "_" for c in ident)[:80]
+                digest = hashlib.sha256(f"{ident}:{variant}:{text}".encode()).hexdigest()[:16]
+                names.append(f"{stem}_{variant}_{digest}{suffix.get(language, '.c')}")
+                with fs.open_output_stream(f"{base}/{names[-1]}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"sample_id": pdf["sample_id"], "file": names})
+
+    return rows.select("sample_id", "variant", "text", "language").mapInPandas(run, "sample_id string, file string")
+
+
+def append_calls(calls: DataFrame, folder: str) -> None:
+    """Append a log of calls; a write that failed leaves no readable part."""
+    from verdictlake.operators import reports as R
+
+    R.call_log(calls).write.mode("append").parquet(folder)
+
+
+def write_results(documents: DataFrame, path: str) -> None:
+    """Result documents (column value), one JSON object a line."""
+    documents.select("value").write.mode("overwrite").text(path)
+
+
+def settings(text: str, types: dict[str, type], environment: dict[str, str] | None = None) -> dict[str, object]:
+    """Options from lines NAME=value, over which an environment wins, by the
+    types asked for; a value that is not of its type is left out.  Quotes,
+    comments, blank lines and a leading export are put up with."""
+    found = dict(environment or {})
+    for line in text.splitlines():
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        if equals and not name.startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            found.setdefault(name.strip(), value[1:-1] if quoted else value.split(" #")[0].strip())
+    out: dict[str, object] = {}
+    for name, kind in types.items():
+        raw = found.get(name, "").strip()
+        if not raw:
+            continue
+        try:
+            out[name] = raw.lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
+        except ValueError:
+            pass
+    return out
