@@ -4,6 +4,7 @@ tables, the tokenizers' word cache and streams of groups."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import itertools
 import math
@@ -101,6 +102,14 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def release() -> None:
+    """Give freed memory back: a worker lives on, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only
+    if trim is not None:
+        trim(0)
+
+
 def mapped(df: DataFrame, fn: Callable, schema: str, rows_per_batch: int = 512) -> DataFrame:
     """mapInArrow over batches of few rows, since a row may hold a long text.
 
@@ -114,7 +123,10 @@ def mapped(df: DataFrame, fn: Callable, schema: str, rows_per_batch: int = 512)
                 for at in range(0, batch.num_rows, rows_per_batch):
                     yield batch.slice(at, rows_per_batch)
 
-        return fn(cut())
+        try:
+            yield from fn(cut())
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -202,50 +214,53 @@ class WordCoder:
     which stays with what follows it, and between plain letters and marks.  So
     the ids of a text are those of such units in order.  The units are cut as
     views of the texts' bytes, Arrow finds the distinct ones, the tokenizer
-    encodes those that a cache of two generations of bounded size does not
-    have, and Arrow puts the ids in the units' places.  Texts with unusual
+    encodes those that are not known yet, and Arrow puts the ids in the units'
+    places.  What is known, at most so many units, is two Arrow arrays, which
+    take a tenth of what a dictionary of Python's would.  Texts with unusual
     white space are encoded as one.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_space, self.most = keep_space, most
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = self.ids = pa.array([], pa.large_binary())
 
     def _raw(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids; bytes that are no UTF-8 are replaced."""
         out = []
-        for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False):
-            ids = array("H", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out.append(ids.tobytes())
+        for at in range(0, len(texts), 4096):  # an encoding is far larger than its ids
+            part = [x.decode("utf-8", "replace") for x in texts[at : at + 4096]]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                ids = array("H", e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out.append(ids.tobytes())
         return out
 
-    def _of_units(self, units: list[bytes]) -> list[bytes]:
-        if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, {}
-        out = list(map(self.new.get, units))
-        missing = [k for k, got in enumerate(out) if got is None]
-        learn = []
-        for k in missing:
-            got = out[k] = self.old.get(units[k])
-            if got is None:
-                learn.append(k)
-        for k, got in zip(learn, self._raw([units[k] for k in learn])):
-            out[k] = got
-        self.new.update((units[k], out[k]) for k in missing)
-        return out
+    def _of_units(self, units: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids, the place of each unit's among them)."""
+        at = pc.index_in(units, value_set=self.known)
+        missing = at.is_null()
+        learn = units.filter(missing)
+        ids = pa.concat_arrays([self.ids, pa.array(self._raw(learn.to_pylist()), pa.large_binary())])
+        at = at.to_numpy(zero_copy_only=False)
+        new = missing.to_numpy(zero_copy_only=False)
+        where = np.where(new, 0, at).astype(np.int64)
+        where[new] = len(self.ids) + np.arange(len(learn))
+        if len(self.known) + len(learn) > self.most:  # begin anew with what is used now
+            self.known, self.ids = units, ids.take(pa.array(where))
+        else:
+            self.known, self.ids = pa.concat_arrays([self.known, learn]), ids
+        return ids, pa.array(where)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a binary array without nulls."""
         out: list[np.ndarray] = []
-        for at, end in textvec.cut(texts, 1 << 22):
+        for at, end in textvec.cut(texts, 1 << 23):
             out += self._encode(texts.slice(at, end - at))
         return out
 
@@ -267,7 +282,8 @@ class WordCoder:
         collecting = gc.isenabled()
         gc.disable()  # very many units live for a moment, none in a cycle
         try:
-            ids = pa.array(self._of_units(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            ids, where = self._of_units(coded.dictionary)
+            ids = ids.take(where.take(coded.indices))
         finally:
             if collecting:
                 gc.enable()
