@@ -292,8 +292,9 @@ def context_window(text, line, radius: int = 8, most: int = 400, bounds=None) ->
 
 def lines_of(text) -> Column:
     """Lines of a text, however they end; the last end adds none."""
-    t = F.regexp_replace(_c(text), r"\r\n|\r", "\n")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
+    t = F.replace(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    whole = F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
 
 
 def is_code_line(text) -> Column:
