@@ -131,8 +131,8 @@ def fallback_reason(n_hypotheses: Column, scanner_failed: Column, n_proposed: Co
 
 def fallback_hypotheses(findings: DataFrame) -> DataFrame:
     """Tool findings (file, ord, cwe, line, message, rule_id) as hypotheses T1,
-    T2, ... of their file, in the order of ord."""
-    w = Window.partitionBy("file").orderBy("ord")
+    T2, ... of their file, in the order of ord, equal ones by what they say."""
+    w = Window.partitionBy("file").orderBy("ord", "line", "rule_id", "message", "cwe")
     claim = F.coalesce(F.nullif(F.col("message"), F.lit("")), F.lit("reported by a static tool"))
     return findings.select("file", "ord", F.upper(F.trim(F.coalesce(F.try_element_at("cwe", F.lit(1)), F.lit("")))).alias("cwe"), "line", claim.alias("claim"), F.coalesce("rule_id", F.lit("")).alias("suspected_sink"), F.concat(F.lit("T"), F.row_number().over(w)).alias("id"))
 

@@ -179,7 +179,7 @@ ORACLE_SQL = {
     "verifications": f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN {_ST} ELSE 'UNCERTAIN' END AS decision, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END::DOUBLE AS confidence, CASE event_id % 4 WHEN 0 THEN 'CWE-' || user_id WHEN 3 THEN 'CWE-1' ELSE '' END AS cwe, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 5 = 3 THEN 'Verifier answered ''maybe'', which is not a verdict.' ELSE '' END WHEN 1 THEN 'r' WHEN 2 THEN 'Verifier returned no usable JSON object.' ELSE 'Verifier returned no decision field.' END AS explanation, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END::INTEGER AS missing, event_id % 4 = 0 AS chain_verified, event_id % 4 = 0 AND event_id % 5 <> 3 AS usable FROM events",
     "single_agent": f"SELECT file, event_id AS group, n > 5 AS truncated, CASE WHEN event_id % 2 = 0 THEN {_ST} ELSE 'UNCERTAIN' END AS decision, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN event_id % 2 = 0 THEN 'CWE-' || user_id ELSE 'CWE-1' END AS cwe, CASE WHEN event_id % 2 = 0 THEN 'UNKNOWN' ELSE 'LOW' END AS severity, CASE WHEN event_id % 2 = 1 THEN 'x:1' WHEN event_id % 4 = 0 THEN NULL ELSE file || ':' || user_id END AS source_location FROM (SELECT *, user_id || '.c' AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k <= 5",
     "chat_envelopes": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'xy' END AS text, CASE WHEN event_id % 6 = 0 THEN 'r' ELSE '' END AS thinking, CASE event_id % 6 WHEN 2 THEN 'TruncatedResponse: cut off' WHEN 3 THEN 'ValueError: a reply without choices: busy' WHEN 4 THEN 'ValueError: a reply that is no object: [1]' WHEN 5 THEN 'ValueError: a reply without content: no (finish_reason=unknown)' END AS error, CASE WHEN event_id % 6 < 3 THEN 'none' ELSE 'parse' END AS kind FROM events",
-    "fallback_hypotheses": sql("findings", "SELECT ord, 'T' || row_number() OVER (PARTITION BY file ORDER BY ord) AS id, c AS cwe, CASE WHEN ord % 2 = 0 THEN 'reported by a static tool' ELSE message END AS claim, rule_id AS suspected_sink FROM findings WHERE line < 20"),
+    "fallback_hypotheses": sql("findings", "SELECT ord, 'T' || row_number() OVER (PARTITION BY file ORDER BY ord, line, rule_id, CASE WHEN ord % 2 = 0 THEN '' ELSE message END, c) AS id, c AS cwe, CASE WHEN ord % 2 = 0 THEN 'reported by a static tool' ELSE message END AS claim, rule_id AS suspected_sink FROM findings WHERE line < 20"),
     "assembled_decisions": sql("fam preds", "SELECT ord::VARCHAR AS group_id, CASE WHEN status = 'ERROR' THEN 'UNCERTAIN' WHEN status = 'CONFIRMED' AND ord % 5 = 0 THEN 'REJECTED' ELSE status END AS status, coalesce(v, c) AS cwe, CASE WHEN ord % 5 = 0 THEN 'gate' ELSE 'why' END || CASE WHEN v IS NOT NULL AND NOT list_has_any(fs, ['CWE-118', 'CWE-119', v]) THEN ' [scanner proposed ' || c || ', verifier read ' || v || '; reporting the verified class]' ELSE '' END AS rationale FROM (SELECT *, CASE ord % 3 WHEN 0 THEN 'CWE-122' WHEN 1 THEN 'CWE-787' END AS v FROM preds JOIN fam USING (c))"),
     "report_counters": sql("findings", "SELECT file, count(DISTINCT tool) AS tool_count, count(*) AS finding_count, count(DISTINCT rule_id) AS group_count FROM findings GROUP BY 1"),
     "run_totals": "SELECT count(*) AS reports, 3 * count(*) AS findings, count_if(event_id % 5 = 0)::BIGINT AS confirmed, count_if(event_id % 5 = 2)::BIGINT AS rejected, count_if(event_id % 5 = 4)::BIGINT AS uncertain, count_if(event_id % 9 = 0)::BIGINT AS errors, (SELECT string_agg(t, '|' ORDER BY event_id) FROM (SELECT event_id, 's' || user_id || '.c: e' || event_id AS t FROM events WHERE event_id % 9 = 0 ORDER BY event_id LIMIT 8)) AS error_details FROM events",
