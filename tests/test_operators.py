@@ -266,12 +266,13 @@ def test_tool_reports(spark, tmp_path):
 def test_stream_keeps_the_latest_success(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
-    for k, lines in enumerate([[("a", 1, "CONFIRMED"), ("b", 2, "ERROR")], [("a", 3, "ERROR"), ("b", 4, "REJECTED")]]):
+    for k, lines in enumerate([[("a", 1, "CONFIRMED"), ("b", 2, "ERROR")], [("a", 3, "ERROR"), ("b", 4, "REJECTED")], [("a", 5, "ERROR")]]):
         (log / f"{k}.json").write_text("\n".join(json.dumps({"sample_id": s, "lineno": n, "decision": d, "elapsed": 1.0, "model": "m"}) for s, n, d in lines))
     for _ in range(2):  # a second run finds nothing new
         q = latest.run(latest.read_log(spark, str(log), 1), str(tmp_path / "state"), str(tmp_path / "cp"))
         q.awaitTermination()
-    state = spark.read.parquet(str(tmp_path / "state/v=1"))
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.is_dir()) == ["v=1", "v=2"]
+    state = spark.read.parquet(str(tmp_path / "state/v=2"))
     assert sorted((r.sample_id, r.lineno, r.decision) for r in state.collect()) == [("a", 1, "CONFIRMED"), ("b", 4, "REJECTED")]
     samples = spark.createDataFrame([("a",), ("c",)], "sample_id string")
     assert [r.sample_id for r in latest.todo(samples, state).collect()] == ["c"]

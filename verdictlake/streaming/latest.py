@@ -23,12 +23,15 @@ def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def run(log: DataFrame, state_path: str, checkpoint: str):
     """Keep the state of a log in versions of a table, v=<batch>; a batch that
     is run again writes the same version, so a restart neither loses nor
-    doubles records."""
+    doubles records.  The version before the last stays, for that and for
+    readers; older ones are deleted."""
     spark = log.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         state = spark.read.schema(RECORD).parquet(f"{state_path}/v={number - 1}") if number else None
         fold(state, batch).write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
