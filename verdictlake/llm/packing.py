@@ -152,7 +152,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capaci
         packer = Packer(capacity, open_windows, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype="<u2")
         for batch in batches:
-            for at, until in textvec.cut(batch.column(1), 1 << 24):
+            for at, until in textvec.cut(batch.column(1), 1 << 22):
                 for doc_id, got in zip(batch.column(0)[at:until].to_pylist(), coder.encode(batch.column(1).slice(at, until - at))):
                     ids = np.concatenate([got, end])
                     packer.place([Piece(doc_id, 0, ids, len(ids))])
