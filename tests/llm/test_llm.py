@@ -769,3 +769,17 @@ def test_pipeline_odd_tables(spark, docs, empty, tmp_path):
         assert (out.count() > 0) == (name == "odd")
         for stage, fn in p.STAGES[:-1]:
             assert fn(spark, d, f"{tmp_path}/{name}").columns == d.columns, stage
+
+
+@pytest.mark.parametrize("before, inside", [("10000", "2048"), ("0", "2048"), ("100", "100")])
+def test_batches_of_texts_are_small(spark, before, inside):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    default = spark.conf.get(name)
+    spark.conf.set(name, before)
+    try:
+        with pytest.raises(ZeroDivisionError), common.small_batches(spark):
+            assert spark.conf.get(name) == inside
+            raise ZeroDivisionError
+        assert spark.conf.get(name) == before
+    finally:
+        spark.conf.set(name, default)

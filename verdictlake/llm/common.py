@@ -4,6 +4,7 @@ tables, the tokenizers' word cache and streams of groups."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import itertools
@@ -77,12 +78,32 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """While it lasts, Arrow batches have at most so many rows.
+
+    Ten thousand long texts fill tens of MB in the JVM and again in Python, in
+    each task.  The setting is the session's: a query that another thread
+    plans meanwhile gets small batches too, and the same rows.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and
-    a lost executor costs no recomputation."""
+    a lost executor costs no recomputation.  texts: rows that go to Python hold
+    whole texts, or what is made of them, and so go in small batches."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark) if texts else contextlib.nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

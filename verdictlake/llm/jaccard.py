@@ -289,7 +289,7 @@ def connected(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
 def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, the table of sets): a set has key, rep (its least
     doc_id), copies, n_links, n_text_links, class_key and class_id."""
-    rows = common.materialize(sketches(docs, settings), "sketches")
+    rows = common.materialize(sketches(docs, settings), "sketches", texts=True)
     sets = common.materialize(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_ngrams").alias("n_ngrams"), F.first("bands").alias("bands")), "sets")
     in_bucket = bucket_rows(sets)
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.sum("n_ngrams").alias("w")).where("n > 1")
@@ -308,7 +308,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
         .select(F.col("b.bucket").alias("bucket"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "copies", "buckets", "grams")
     )
     dealt = tasks.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "key")
-    links = common.materialize(verify(dealt, settings), "links")
+    links = common.materialize(verify(dealt, settings), "links", texts=True)
     roots_of = connected(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
     out = sets.select("key", "rep", "copies").join(counts, "key", "left").join(roots_of.withColumnRenamed("node", "key"), "key", "left")

@@ -170,14 +170,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capaci
         yield packer.take(leftovers=not last)
 
     source = docs.select("doc_id", common.text_bytes().alias("text"))
-    done = common.materialize(common.mapped(source, first_round, ROW, rows_per_batch=4096), "packed")
+    done = common.materialize(common.mapped(source, first_round, ROW, rows_per_batch=4096), "packed", texts=True)
     parts, number, tasks = [done], 1, max(1, source.rdd.getNumPartitions())
     while True:
         left = parts[-1].where(F.col("open").isNotNull()).select("open")
         tasks = -(-tasks // fan_in)
         last = tasks == 1
         run = lambda batches, number=number, last=last: merge_round(batches, number, last)
-        parts.append(common.materialize(left.coalesce(tasks).mapInArrow(run, ROW), "packed"))
+        parts.append(common.materialize(left.coalesce(tasks).mapInArrow(run, ROW), "packed", texts=True))
         if last:
             break
         number += 1

@@ -232,7 +232,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows; rows with a null doc_id are judged but never labelled.  Empty tables
     give no rows.  Other columns, of whatever name, are ignored.
     """
-    measured = common.materialize(measure(docs), "measured")
+    measured = common.materialize(measure(docs), "measured", texts=True)
     return verdicts(measured, *fit(measured, labels))
 
 
@@ -244,7 +244,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row's verdict depends on its text alone, so the second pass judges and
     filters where the row is, without a shuffle of texts.
     """
-    forest, threshold = fit(common.materialize(measure(docs), "measured"), labels)
+    forest, threshold = fit(common.materialize(measure(docs), "measured", texts=True), labels)
     schema = docs.schema
     where = schema.fieldNames().index("text")
 
