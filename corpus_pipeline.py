@@ -54,6 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = common.work_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        kept = stage(spark, docs, sf_dir)
+        with common.small_batches(spark):  # the rows are whole texts
+            kept.write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return docs
