@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -515,6 +516,31 @@ def test_lm_filter_has_no_size_of_its_own(spark):
     assert abs(sizes[1] - sizes[0]) < 100
 
 
+def test_lm_chunks_stay_out_of_the_jvm(spark):
+    """However many chunks a task has, rows of Spark's tables hold none of them,
+    and a reader gets each one alone."""
+    texts = [f"a{k} b c".encode() for k in range(20_000)]
+    source = spark.createDataFrame([(k, k % 10 == 0, t) for k, t in enumerate(texts)], "doc_id long, held_out boolean, text binary")
+    rows = lm.chunks_of(source.coalesce(1), chunk_tokens=5_000).collect()
+    assert len(rows) >= 5 and max(len(pickle.dumps(tuple(r))) for r in rows) < 1_000
+    assert [r.chunk for r in rows] == list(range(len(rows))) and len({r.path for r in rows}) == 1
+    assert pq.ParquetFile(rows[0].path.removeprefix("file://")).num_row_groups == len(rows)
+    got = [lm.Chunk.of(r.chunk, r.path, r.place) for r in rows]
+    assert [i for c in got for i in c.ids.to_pylist()] == list(range(20_000))
+    assert [len(c.at) for c in got] == [4 * len(c.held) for c in got]
+    assert sum(r.learned for r in rows) == 4 * 18_000
+
+
+def test_files_of_failed_attempts_are_not_read(spark):
+    schema = pa.schema([("n", pa.int64())])
+    double = lambda batches: (pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() * 2)], schema=schema) for b in batches)
+    folder, files = common.written(spark.range(100, numPartitions=3), double, schema, "written", told="n", rows_per_batch=20)
+    at = folder.removeprefix("file://")
+    pq.write_table(pa.table({"n": [1, 3]}), f"{at}/_tries/part-000000-99.parquet")
+    assert sorted(r.n for r in spark.read.parquet(folder).collect()) == list(range(0, 200, 2))
+    assert len(files) == 3 and all(pq.ParquetFile(f"{at}/{name}").num_row_groups == len(told) == 2 for name, told in files)
+
+
 def test_bloom_counts():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**63, 20_000, dtype=np.uint64)

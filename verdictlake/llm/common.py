@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textvec
@@ -152,6 +154,53 @@ def mapped(df: DataFrame, fn: Callable, schema: str, rows_per_batch: int = 512)
     return df.mapInArrow(run, schema)
 
 
+def written(df: DataFrame, fn: Callable, schema: pa.Schema, name: str, told: str | None = None, rows_per_batch: int = 512) -> tuple[str, list[tuple[str, list]]]:
+    """What fn makes of df's batches, in Parquet files of the shared folder,
+    which the workers write themselves: (folder, its files, and of each of their
+    batches the first value of the column told).
+
+    Each batch is a row group, so that a reader holds no more than one, however
+    many a task has; none of them passes through the JVM.  A task that is run
+    again writes another file, and only those of tasks that count are moved to
+    the folder.
+    """
+    spark = df.sparkSession
+    folder = work_path(spark, name)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        fs, base = arrow_fs(folder)
+        context = TaskContext.get()
+        file = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.parquet"
+        out, values = None, []
+        for batch in fn(batches):
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(f"{base}/_tries")
+                sink = fs.open_output_stream(f"{base}/_tries/{file}")
+                out = pq.ParquetWriter(sink, schema, compression="zstd", use_dictionary=False)
+            out.write_batch(batch, row_group_size=batch.num_rows)
+            values.append(batch.column(told)[0].as_py() if told else None)
+        if out is not None:
+            out.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([values], pa.list_(pa.int64()))], names=["file", "told"])
+
+    with small_batches(spark):
+        rows = mapped(df, run, "file string, told array<long>", rows_per_batch).collect()
+    fs, base = arrow_fs(folder)
+    for row in rows:
+        fs.move(f"{base}/_tries/{row['file']}", f"{base}/{row['file']}")
+    return folder, sorted((row["file"], row["told"]) for row in rows)
+
+
+def stored(df: DataFrame, fn: Callable, schema: pa.Schema, columns: str, name: str, rows_per_batch: int = 512) -> DataFrame:
+    """The table that written() has written."""
+    spark = df.sparkSession
+    folder, files = written(df, fn, schema, name, rows_per_batch=rows_per_batch)
+    return spark.read.schema(columns).parquet(folder) if files else spark.createDataFrame([], columns)
+
+
 def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of equal keys from a stream that is sorted by the keys.
 

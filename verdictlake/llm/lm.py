@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from . import common, textvec
@@ -197,26 +197,30 @@ def answers(table: pa.Table, kind: int, seen: int, values: np.ndarray, levels: n
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([SEEN + seen] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_PACKED_ARROW)
 
 
-#: Bits of a chunk's number within its partition.
-_PART = 20
-_CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, places binary"
-_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+_CHUNK = "chunk long, path string, place int, learned long"
+_CHUNK_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary()), ("learned", pa.int64())])
 
 
 def chunks_of(source: DataFrame, chunk_tokens: int = 2_000_000) -> DataFrame:
     """Rows (doc_id, held_out, text as bytes) in chunks of about so many tokens:
     the chunk's distinct words ascending, the places of its tokens among them,
-    and each document's number of tokens."""
+    and each document's number of tokens.
+
+    The workers write and read the chunks in the shared folder.  The table says
+    where each one lies, and how many of its tokens are learned from.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n, number = 0, TaskContext.get().partitionId() << _PART
+        n = 0
 
         def flush() -> pa.RecordBatch:
             words, places = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
             one = lambda values, kind: pa.array([[v for x in values for v in x.to_pylist()]], pa.list_(kind))
             sizes = np.concatenate([x[3] for x in held])
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one([x[0] for x in held], pa.int64()), one([x[1] for x in held], pa.bool_()), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<i4"), words.astype("<u8"), places.astype("<u4"))]], schema=_CHUNK_ARROW)
+            out = one([x[1] for x in held], pa.bool_())
+            learned = int(sizes[~out.flatten().to_numpy(zero_copy_only=False)].sum())
+            return pa.RecordBatch.from_arrays([one([x[0] for x in held], pa.int64()), out, *[pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<i4"), words.astype("<u8"), places.astype("<u4"))], pa.array([learned], pa.int64())], schema=_CHUNK_ARROW)
 
         for batch in batches:
             for at, end in textvec.cut(batch.column(2)):
@@ -225,11 +229,25 @@ def chunks_of(source: DataFrame, chunk_tokens: int = 2_000_000) -> DataFrame:
                 n += len(h)
                 if n >= chunk_tokens:
                     yield flush()
-                    held, n, number = [], 0, number + 1
+                    held, n = [], 0
         if held:
             yield flush()
 
-    return common.mapped(source, run, _CHUNK, rows_per_batch=4096)
+    folder, files = common.written(source, run, _CHUNK_ARROW, "lm-chunks", "learned", rows_per_batch=4096)
+    places = [(f"{folder}/{file}", place, learned) for file, told in files for place, learned in enumerate(told)]
+    return source.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(places)], _CHUNK)
+
+
+def one_a_task(chunks: DataFrame) -> DataFrame:
+    n = chunks.count()
+    return chunks.repartitionById(max(1, min(n, MOST_TASKS)), F.col("chunk").cast("int"))
+
+
+def chunk_columns(path: str, place: int, columns: list[str] | None = None) -> pa.Table:
+    """A chunk's row, or some columns of it."""
+    fs, name = common.arrow_fs(path)
+    with fs.open_input_file(name) as f:
+        return pq.ParquetFile(f).read_row_group(place, columns=columns, use_threads=False)
 
 
 @dataclass
@@ -237,15 +255,17 @@ class Chunk:
     """A row of chunks_of."""
 
     number: int
+    ids: pa.Array  #: of documents
     held: np.ndarray
     doc: np.ndarray  #: of each token
     words: np.ndarray
     at: np.ndarray  #: place of each token among the words
 
     @classmethod
-    def of(cls, rows: pa.RecordBatch | pa.Table, i: int) -> Chunk:
-        sizes, words, at = (np.frombuffer(rows[c][i].as_buffer(), dtype=t) for c, t in (("sizes", "<i4"), ("words", "<u8"), ("places", "<u4")))
-        return cls(rows["chunk"][i].as_py(), np.array(rows["held"][i].as_py(), dtype=bool), np.repeat(np.arange(len(sizes)), sizes), words, at)
+    def of(cls, number: int, path: str, place: int) -> Chunk:
+        rows = chunk_columns(path, place)
+        sizes, words, at = (np.frombuffer(rows[c][0].as_buffer(), dtype=t) for c, t in (("sizes", "<i4"), ("words", "<u8"), ("places", "<u4")))
+        return cls(number, rows["doc_ids"][0].values, np.array(rows["held"][0].as_py(), dtype=bool), np.repeat(np.arange(len(sizes)), sizes), words, at)
 
     def pairs(self) -> np.ndarray:
         return pairs(self.words[self.at], self.doc)[0]
@@ -266,18 +286,19 @@ def count_ngrams(chunks: DataFrame, n_blocks: int) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                c = Chunk.of(batch, i)
+            for row in batch.to_pylist():
+                c = Chunk.of(row["chunk"], row["path"], row["place"])
                 learned = ~c.held[c.doc]
                 yield pack(WORD, c.words, np.bincount(c.at[learned], minlength=len(c.words)), n_blocks, c.number)
                 two = c.pairs()
+                common.release()  # of what hashing took
                 values, n = _unique_counts(two[learned])
                 if not learned.all():
                     others = _unique_counts(two[~learned])[0]
                     values, n = _merge([(values, n), (others, np.zeros(len(others), dtype=np.int64))])
                 yield pack(PAIR, values, n, n_blocks, c.number)
 
-    return common.mapped(chunks, run, _PACKED, rows_per_batch=1)
+    return common.mapped(one_a_task(chunks), run, _PACKED, rows_per_batch=1)
 
 
 def ask_follows(chunks: DataFrame, n_blocks: int) -> DataFrame:
@@ -285,11 +306,12 @@ def ask_follows(chunks: DataFrame, n_blocks: int) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row in batch.to_pylist():
+                words = chunk_columns(row["path"], row["place"], ["words"])["words"][0]
                 asked = np.unique(history(np.frombuffer(words.as_buffer(), dtype="<u8")))
-                yield pack(ASK, asked, np.zeros(len(asked), dtype=np.int64), n_blocks, number)
+                yield pack(ASK, asked, np.zeros(len(asked), dtype=np.int64), n_blocks, row["chunk"])
 
-    return common.mapped(chunks.select("chunk", "words"), run, _PACKED, rows_per_batch=1)
+    return common.mapped(one_a_task(chunks), run, _PACKED, rows_per_batch=1)
 
 
 _COUNTED = _PACKED + ", n_tokens long, n_types long, n_once long"
@@ -322,10 +344,10 @@ class Model:
         return np.log10(np.maximum(np.minimum(1.0, seen + back * single), 1e-30))
 
 
-def blocks_for(source: DataFrame, settings: Settings) -> int:
-    """Number of blocks for the texts learned from."""
-    size = source.where(~F.col("held_out")).agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-(size // 6) // settings.block_rows))
+def blocks_for(chunks: DataFrame, settings: Settings) -> int:
+    """Number of blocks for the tokens learned from."""
+    size = chunks.agg(F.sum("learned")).first()[0] or 0
+    return max(1, -(-size // settings.block_rows))
 
 
 #: Beyond so many blocks or chunks a task has several, one after the other.
@@ -348,6 +370,8 @@ def train(chunks: DataFrame, n_blocks: int, settings: Settings = Settings()) ->
             bloom = block([(WORD, words, counts), (PAIR, two, times)])
             yield whole(answers(group, WORD, WORD, words, bloom.levels(words, _SALT[WORD])))
             yield whole(answers(group, PAIR, PAIR, two, bloom.levels(two, _SALT[PAIR])))
+            del bloom
+            common.release()
             words, counts = words[counts > 0], counts[counts > 0]
             row = {"chunk": [-1], "kind": [WORD], "block": [group["block"][0].as_py()], "hashes": [words.tobytes()], "counts": [counts.astype("<i8").tobytes()], "n_tokens": [int(counts.sum())], "n_types": [len(words)], "n_once": [int((counts == 1).sum())]}
             yield pa.RecordBatch.from_pydict(row, schema=_COUNTED_ARROW)
@@ -361,7 +385,7 @@ def train(chunks: DataFrame, n_blocks: int, settings: Settings = Settings()) ->
 
     # block b goes to task b: by a hash some tasks would have several
     by_block = lambda df: df.repartitionById(min(n_blocks, MOST_TASKS), F.col("block")).sortWithinPartitions("block")
-    counted = common.materialize(by_block(count_ngrams(chunks, n_blocks)).mapInArrow(gather, _COUNTED), "lm-counts")
+    counted = common.stored(by_block(count_ngrams(chunks, n_blocks)), gather, _COUNTED_ARROW, _COUNTED, "lm-counts")
     own = counted.where(F.col("kind") == WORD)
     facts = own.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_once")).first()
     n_tokens, n_types, n_once = (int(x or 0) for x in facts)
@@ -394,6 +418,10 @@ def levels_in(table: pa.Table, kind: int, values: np.ndarray, n_blocks: int) ->
     return out
 
 
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+_SCORED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+
+
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.
@@ -408,8 +436,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     source = docs.select("doc_id", held.alias("held_out"), common.text_bytes().alias("text"))
-    n_blocks = blocks_for(source, settings)
-    chunks = common.materialize(chunks_of(source), "lm-chunks")
+    chunks = chunks_of(source)
+    n_blocks = blocks_for(chunks, settings)
     model, counts, levels = train(chunks, n_blocks, settings)
     sent = spark.sparkContext.broadcast(model)
     n, v = model.n_tokens, model.n_types
@@ -420,15 +448,22 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         m = sent.value
         for group in common.groups_of(batches, ["chunk"]):
             at = group["kind"].to_pylist().index(-1)
-            chunk = Chunk.of(group, at)
+            chunk = Chunk.of(*(group[c][at].as_py() for c in ("chunk", "path", "place")))
             doc, size = chunk.doc, len(chunk.held)
             count = lambda kind, values: count_of(levels_in(group, kind, values, n_blocks).astype(np.int64), settings.base)
             before = chunk.before()
             word = count(WORD, chunk.words)
             asked, place = np.unique(history(chunk.words), return_inverse=True)
-            follow = count(FOLLOW, asked)[place][before]
+            follow = count(FOLLOW, asked)[place]
             two, place = np.unique(chunk.pairs(), return_inverse=True)
-            logs = m.log10(word[chunk.at], word[before], count(PAIR, two)[place], follow)
+            common.release()  # of what sorting took
+            two = count(PAIR, two)
+            logs = np.empty(len(place))
+            for a in range(0, len(place), 1 << 18):  # a dozen arrays of numbers are made on the way
+                part = slice(a, a + (1 << 18))
+                logs[part] = m.log10(word[chunk.at[part]], word[before[part]], two[place[part]], follow[before[part]])
+            del place, two, before
+            common.release()
             score = np.bincount(doc, weights=logs, minlength=size)
             h = chunk.words
             i = np.minimum(np.searchsorted(m.common_hashes, h), max(0, len(m.common_hashes) - 1))
@@ -440,19 +475,14 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             ends = np.searchsorted(doc[rare], np.arange(size + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[chunk.at[rare]].view(np.int64)))
             row = chunk.number << 23
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), pa.array(group["doc_ids"][at].as_py(), pa.int64()), pa.array(chunk.held), pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    together = levels.unionByName(chunks.withColumns({"kind": F.lit(-1), "block": F.lit(-1)}), allowMissingColumns=True)
-    # chunks are numbered within partitions: number them through, for a task each
-    last = chunks.agg(F.max(F.expr(f"chunk >> {_PART}")).alias("part"), F.max(F.expr(f"chunk & {(1 << _PART) - 1}")).alias("number")).first()
-    width = (last["number"] or 0) + 1
-    task = F.expr(f"cast((chunk >> {_PART}) * {width} + (chunk & {(1 << _PART) - 1}) as int)")
-    dealt = together.repartitionById(min(((last["part"] or 0) + 1) * width, MOST_TASKS), task).sortWithinPartitions("chunk")
-    scored = dealt.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), chunk.ids, pa.array(chunk.held), pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists], schema=_SCORED_ARROW)
+
+    together = levels.unionByName(chunks.drop("learned").withColumns({"kind": F.lit(-1), "block": F.lit(-1)}), allowMissingColumns=True)
+    dealt = together.repartitionById(max(1, min(chunks.count(), MOST_TASKS)), F.col("chunk").cast("int")).sortWithinPartitions("chunk")
     final = [F.lit(n).cast("long").alias("train_tokens")]
     if all_known:
-        return scored.select("doc_id", "held_out", "n_tokens", "n_known", *final, F.col("base").alias("base_score"), "score")
-    scored = common.materialize(scored, "lm-scored")
+        return dealt.mapInArrow(run, _SCORED).select("doc_id", "held_out", "n_tokens", "n_known", *final, F.col("base").alias("base_score"), "score")
+    scored = common.stored(dealt, run, _SCORED_ARROW, _SCORED, "lm-scored")
     words = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").count()
     found = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("count")).otherwise(0)).alias("more_known"), F.sum(F.col("count") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - below)).alias("more"))
     joined = scored.drop("rare").join(found, "row", "left")
