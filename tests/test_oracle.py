@@ -50,3 +50,16 @@ def test_all_findings_are_correlated(spark):
     want = views.findings(spark, DATA).select("file", "line", "cwe", "rule_id").distinct().groupBy("file").count().collect()
     got = registry.QUERIES["correlate_findings"](spark, DATA).collect()
     assert {r.file: r.findings for r in got} == {r.file: r["count"] for r in want}
+
+
+def test_context_of_odd_texts(spark, tmp_path):
+    import duckdb
+
+    texts = ["", None, "\n", "\n\n\n", "a", "a\n", "a\r\nb\r\nc\r\n", "a\rb\rc", "\r", "\n\r", "a\x0bb\u2028c", "\n".join("abcdefghij")]
+    ids = [*range(15), *range(-15, 0)]
+    rows = [(i + 15 * k * (1 if i >= 0 else -1), t) for k, t in enumerate(texts) for i in ids] + [(None, t) for t in texts]  # each text with every rest
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = registry.QUERIES["context_window"](spark, str(tmp_path)).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, con.execute(registry.ORACLE_SQL["context_window"]).fetchall()))

@@ -261,12 +261,13 @@ def names_in(expression) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(_c(expression), F.lit(r"([A-Za-z_]\w*)"), F.lit(1))), F.array(*map(F.lit, KEYWORDS)))
 
 
-def context_span(text, line, radius: int = 8, most: int = 400, bounds=None) -> Column:
+def context_span(text, line, radius: int = 8, most: int = 400, bounds=None, plain: bool = False) -> Column:
     """start_line, end_line and truncated of the window around a line; without
     one the first 2r+1.  Bounds (start_line, end_line of the function around
     it) widen the window; one of more than `most` lines is then cut around the
-    line, and truncated says so."""
-    n, at = F.size(lines_of(text)), _c(line)
+    line, and truncated says so.  plain: plain lines, and a line below 1 is a
+    line."""
+    n, at = F.size(lines_of(text, plain)), _c(line)
     first, last, cut = F.greatest(F.lit(1), at - radius), F.least(n, at + radius), F.lit(False)
     if bounds is not None:
         start, end = _c(bounds).getField("start_line"), _c(bounds).getField("end_line")
@@ -277,24 +278,26 @@ def context_span(text, line, radius: int = 8, most: int = 400, bounds=None) -> C
         cut = unit & (last - first + 1 > most)
         first = F.when(cut, F.greatest(first, at - keep)).otherwise(first)
         last = F.when(cut, F.least(last, first + most - 1)).otherwise(last)
-    none = at.isNull() | (at < 1)
+    none = at.isNull() if plain else at.isNull() | (at < 1)
     return F.struct(F.when(none, F.lit(1)).otherwise(first).cast("int").alias("start_line"), F.when(none, F.least(n, F.lit(2 * radius + 1))).otherwise(last).cast("int").alias("end_line"), F.coalesce(~none & cut, F.lit(False)).alias("truncated"))
 
 
-def context_window(text, line, radius: int = 8, most: int = 400, bounds=None) -> Column:
+def context_window(text, line, radius: int = 8, most: int = 400, bounds=None, plain: bool = False) -> Column:
     """The lines of context_span, numbered where a line was asked for."""
-    span = context_span(text, line, radius, most, bounds)
+    span = context_span(text, line, radius, most, bounds, plain)
     first, last = span.getField("start_line"), span.getField("end_line")
-    part = F.slice(lines_of(text), first, F.greatest(last - first + 1, F.lit(0)))
+    part = F.when(last < first, F.array().cast("array<string>")).otherwise(F.slice(lines_of(text, plain), first, F.greatest(last - first + 1, F.lit(0))))
     numbered = F.transform(part, lambda x, i: F.concat(F.lpad((i + first).cast("string"), 6, " "), F.lit(": "), x))
-    return F.array_join(F.when(_c(line).isNull() | (_c(line) < 1), part).otherwise(numbered), "\n")
+    none = _c(line).isNull() if plain else _c(line).isNull() | (_c(line) < 1)
+    return F.array_join(F.when(none, part).otherwise(numbered), "\n")
 
 
-def lines_of(text) -> Column:
-    """Lines of a text, however they end; the last end adds none."""
-    t = F.replace(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+def lines_of(text, plain: bool = False) -> Column:
+    """Lines of a text, however they end; the last end adds none.  plain: only
+    "\\n" ends a line, and an empty text is one empty line."""
+    t = _c(text) if plain else F.replace(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     whole = F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
+    return F.split(whole, "\n") if plain else F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
 
 
 def is_code_line(text) -> Column:
