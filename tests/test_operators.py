@@ -307,3 +307,16 @@ def test_sard(spark):
     meta = spark.createDataFrame([("/r", "a", False), ("/r/CWE122_x", "xa1", True)], "folder string, name string, label boolean")
     got = readers.sard_metadata(files.withColumn("stem", F.lit("a")), meta).collect()
     assert {r.path[-3:]: r.vulnerable for r in got} == {"a.c": True, "b.c": True, "c.c": True}
+
+
+def test_members_of_groups_by_packed_fingerprints(spark):
+    texts = ["", "ab", "AB", "abc", "0ab", "zz", "ab\n", "\u00e9", "\x00", "\x01ab", hashlib.sha256(b"x").hexdigest(), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, fingerprint string")
+    codes = df.select("fingerprint", C.packed("fingerprint").alias("code"), C.unpacked(C.packed("fingerprint")).alias("back")).collect()
+    assert all(r.back == r.fingerprint for r in codes) and len({r.code for r in codes}) == len(texts) and len(codes[10].code) == 33
+    groups = spark.createDataFrame([("g", ["ab", "ab", "\u00e9", None, "no"]), ("h", ["ab", "AB"]), ("h", ["AB"]), (None, ["abc"]), ("i", None), ("j", [])], "group_id string, fingerprints array<string>")
+    want = [("None", "abc", 3), ("g", "ab", 1), ("g", "ab", 1), ("g", "\u00e9", 7), ("h", "AB", 2), ("h", "ab", 1), ("h", "ab", 1)]
+    rows = df.unionAll(df.where("fingerprint = 'ab'"))  # listed twice is no second member, found twice is
+    got = findings_ops.group_members(groups, rows)
+    assert got.columns == ["fingerprint", "group_id", "ord"]
+    assert sorted((str(r.group_id), r.fingerprint, r.ord) for r in got.collect()) == sorted(want)

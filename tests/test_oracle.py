@@ -63,3 +63,15 @@ def test_context_of_odd_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = registry.QUERIES["context_window"](spark, str(tmp_path)).collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, con.execute(registry.ORACLE_SQL["context_window"]).fetchall()))
+
+
+def test_members_travel_twice(spark):
+    """Findings and lists are dealt once each, by a fingerprint's bytes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.QUERIES["group_members"](spark, DATA)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert dict(df.dtypes) == {"group_id": "string", "fingerprint": "string", "ord": "bigint"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

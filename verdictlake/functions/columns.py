@@ -194,6 +194,18 @@ def fingerprint(tool, rule, file, line, message) -> Column:
     return F.sha2(F.concat_ws("|", _c(tool), _c(rule), F.coalesce(_c(file), F.lit("")), n, F.trim(_c(message))).cast("binary"), 256)
 
 
+def packed(text) -> Column:
+    """Bytes that stand for a text: half as many and one where it is lower-case
+    hex digits in pairs, else its own and one.  unpacked gives it back."""
+    t, digits = _c(text), F.unhex(_c(text))
+    return F.when(F.lower(F.hex(digits)) == t, F.concat(F.lit(b"\x00"), digits)).otherwise(F.concat(F.lit(b"\x01"), t.cast("binary")))
+
+
+def unpacked(code) -> Column:
+    rest = F.substring(_c(code), F.lit(2), F.length(_c(code)))
+    return F.when(F.substring(_c(code), 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def language_of(path) -> Column:
     ext = F.lower(F.regexp_extract(_c(path), r"(\.[A-Za-z]+)$", 1))
     return F.when(ext.isin(".py", ".pyw"), "python").when(ext.isin(".c", ".h"), "c").when(ext.isin(".cc", ".cp", ".cpp", ".cxx", ".hh", ".hpp", ".hxx"), "cpp")

@@ -97,6 +97,13 @@ def group_summary(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 def group_members(groups: DataFrame, findings: DataFrame) -> DataFrame:
     """The findings whose fingerprint a group lists: groups (group_id,
-    fingerprints array), or a row for each fingerprint of a group."""
+    fingerprints array), or a row for each fingerprint of a group.  One that is
+    listed again counts once.
+
+    Fingerprints travel packed, and the lists are dealt by them once, which
+    serves both distinct and the join; the findings stream past the lists."""
     listed = groups.select("group_id", F.explode("fingerprints").alias("fingerprint")) if "fingerprints" in groups.columns else groups.select("group_id", "fingerprint")
-    return listed.join(findings, "fingerprint")
+    key = F.coalesce(C.packed("fingerprint"), F.lit(b""))  # never null: else the join would compute it again to test that
+    dealt = listed.where("fingerprint is not null").select("group_id", key.alias("fingerprint")).repartition("fingerprint").distinct()
+    rows = findings.where("fingerprint is not null").withColumn("fingerprint", key)
+    return rows.join(dealt, "fingerprint").select(C.unpacked("fingerprint").alias("fingerprint"), "group_id", *[c for c in findings.columns if c != "fingerprint"])

@@ -42,7 +42,7 @@ def correlate_findings(spark, d):
 
 def group_members(spark, d):
     f = V.tools(V.findings(spark, d))
-    g = f.select(F.col("file").alias("group_id"), "fingerprint").distinct()
+    g = f.select(F.col("file").alias("group_id"), "fingerprint")
     return N.group_members(g, f.select("fingerprint", "ord")).select("group_id", "fingerprint", "ord")
 
 
